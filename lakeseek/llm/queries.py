@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm import encoding, fusion, packing, terms
+from lakeseek.llm import encoding, fusion, packing, reading, terms
 from lakeseek.session import read
 
 
@@ -47,7 +47,16 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_corpus(read(spark, d, "documents"), read(spark, d, "token_budgets"))
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(read(spark, d, "documents"), read(spark, d, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_levels(spark, d).where(F.col("reading_level").isNotNull()).select("doc_id", "reading_level")
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_levels": p10_levels,
     "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_frequencies": p2_frequencies,
     "p4_found": p4_found, "p4_ranking": p4_ranking, "p8_ids": p8_ids, "p9_packing": p9_packing,
 }
