@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeseek.llm import docpairs, encoding, fusion, packing, reading, terms
+from lakeseek.llm import docpairs, encoding, fusion, origin, packing, reading, terms
 from lakeseek.session import read
 
 
@@ -39,6 +39,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.first_of_each(fused).select(F.col("query").alias("query_id"), F.col("point").alias("point_id"))
 
 
+def p6_origins(spark: SparkSession, d: str) -> DataFrame:
+    return origin.origins(read(spark, d, "file_info"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_origins(spark, d).where(F.col("label") != "handwritten").select("file_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = docpairs.documented_functions(read(spark, d, "chunk_points"), read(spark, d, "file_points"))
     return found.select("chunk_id", "function_name")
@@ -67,7 +75,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p10_found": p10_found, "p10_levels": p10_levels,
     "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_frequencies": p2_frequencies,
-    "p4_found": p4_found, "p4_ranking": p4_ranking, "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing,
+    "p4_found": p4_found, "p4_ranking": p4_ranking, "p6_found": p6_found, "p6_origins": p6_origins,
+    "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing,
 }
 
 #: RE2 has no look-around: humps are marked by two replacements (the second twice, as matches may share a letter).
