@@ -33,12 +33,12 @@ MAX_LABELS, MAX_WORDS, MIN_WORDS = 100_000, 200_000, 40
 
 _FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _ADDRESS = re.compile(r"\b[a-z][a-z+.-]*://\S+|\bwww\.\S+|\S+@\S+\.\S+")
-_INLINE = re.compile(
-    r"`[^`\n]*`"                                    # inline code
-    r"|<[^<>\n]{1,200}>|&[a-zA-Z#0-9]{1,10};"          # markup
-    r"|(?<!\w)(?:\.{0,2}/)?(?:[\w.-]+/)+[\w.-]+"       # paths
+_SPAN = re.compile(r"`[^`\n]*`|<[^<>\n]{1,200}>|&[a-zA-Z#0-9]{1,10};")
+_NAME = re.compile(
+    r"(?<!\w)(?:\.{0,2}/)?(?:[\w.-]+/)+[\w.-]+"           # paths
     r"|\w*_\w*(?:\(\))?|\b\w*[a-z0-9][A-Z]\w*(?:\(\))?"  # identifiers
     r"|\b[A-Za-z]+\d\w*")
+_ODD_STARTS = frozenset("|#[$><=0123456789")
 _LINE = re.compile(
     r"^[ \t]*(?:\|.*|#{1,6} .*"                      # table rows, headings
     r"|\[?\d{4}-\d\d-\d\d[T ]\d\d:.*"                # log lines
@@ -51,26 +51,56 @@ _CODE_LINE = re.compile(
     r"|^\s*(?:return|elif|else|try|except|finally|end|fi|done|esac|echo|case|begin|rescue)\b[^.]*$"
     r"|^\s*(?:if|for|while|with|switch|match)\b.*[:{)]\s*$|\bdo\s*(?:\|.*\|)?\s*$|;;\s*$"
     r"|^\s*[\w.\[\]]+(?:,\s*\w+)*\s*(?:[-+*/:]?=|<<)\s*\S|^\s*[\w.:]+!?\(.*\)[;,]?\s*$|^\s*[\"']?\w+[\"']?:\s*\S*,?\s*$")
+_CODE_HINT = re.compile(r"[(){}\[\];=@#*/:<]|^\s*(?:import|from|package|use|require|source|return|elif|else|try|except|finally|end|fi|done|esac|echo|case|begin|rescue)\b|--|\bdo\s*$")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
+def _words_of(piece: str) -> list[str]:
+    """The words of a piece between white space that is not plainly one word."""
+    if _NAME.search(piece):
+        piece = _NAME.sub(" ", piece)
+    return _WORD.findall(piece.lower())
+
+
 def prose_words(text: str | None) -> list[str]:
     """The words of the prose in ``text``, lower-cased and composed, in order.
-    Code (fenced, inline, or bare lines where these make up most of the text),
-    logs, tables, headings, markup and addresses are left out. Null and empty
-    texts have none."""
+    Code (fenced, inline, or bare lines where these make up a third of all or
+    more), logs, tables, headings, markup and addresses are left out. Null and
+    empty texts have none."""
     if not text:
         return []
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    text = _ADDRESS.sub(" ", _LINE.sub("", _FENCED.sub("\n", text)))
-    lines = [line for line in text.split("\n") if line.strip()]
-    code = sum(1 for line in lines if line.count(" ") < 20 + line.count("    ") * 4 and _CODE_LINE.search(line))
-    if code * 3 > len(lines):
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub("\n", text)
+    kept, code = [], 0
+    for line in text.split("\n"):
+        start = line.lstrip()
+        if not start or (start[0] in _ODD_STARTS and _LINE.match(line)):
+            continue
+        if "://" in line or "@" in line or "www." in line:
+            line = _ADDRESS.sub(" ", line)
+            if not line.strip():
+                continue
+        kept.append(line)
+        if _CODE_HINT.search(line) and line.count(" ") < 20 + line.count("    ") * 4 and _CODE_LINE.search(line):
+            code += 1
+    if code * 3 > len(kept):
         return []
-    return _WORD.findall(_INLINE.sub(" ", text).lower())
+    text = "\n".join(kept)
+    if "`" in text or "<" in text or "&" in text:
+        text = _SPAN.sub(" ", text)
+    words = []
+    for piece in text.split():
+        bare = piece.strip(".,;:!?()\"*…")
+        if bare.isalpha() and (bare.islower() or bare[1:].islower() or len(bare) == 1):
+            words.append(bare.lower())
+        elif bare:
+            words += _words_of(piece)
+    return words
 
 
 def _labelled_words(df: DataFrame, key: str, text: str) -> DataFrame:
