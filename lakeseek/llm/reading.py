@@ -30,6 +30,8 @@ from lakeseek.session import cut
 LEVELS = (1, 2, 3)
 #: Bounds of the labelled sample and of the model, and the least prose that is given a level.
 MAX_LABELS, MAX_WORDS, MIN_WORDS = 100_000, 200_000, 40
+#: The longest run of word characters that may be a word.
+RUN = 100
 
 _FENCED = re.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _ADDRESS = re.compile(r"\b[a-z][a-z+.-]*://\S+|\bwww\.\S+|\S+@\S+\.\S+")
@@ -45,19 +47,24 @@ _LINE = re.compile(
     r"|(?:\$|>>>) .*"                                # shell and interpreter lines
     r"|(?:<{7}|={7}|>{7}).*)$", re.M)
 _CODE_LINE = re.compile(
-    r"^\s*(?://|/?\*|#!|#include\b|--\s|@\w+|[{}()\[\];]+[;,]?\s*$)"
-    r"|[;{}]\s*$|^\s*(?:import|from|package|use|require|source)\s+\S+.*$"
-    r"|^\s*(?:def|class|func|fn|pub|public|private|protected|static|const|let|var|function|export|async|struct|enum)\b.*[({=:]"
-    r"|^\s*(?:return|elif|else|try|except|finally|end|fi|done|esac|echo|case|begin|rescue)\b[^.]*$"
-    r"|^\s*(?:if|for|while|with|switch|match)\b.*[:{)]\s*$|\bdo\s*(?:\|.*\|)?\s*$|;;\s*$"
-    r"|^\s*[\w.\[\]]+(?:,\s*\w+)*\s*(?:[-+*/:]?=|<<)\s*\S|^\s*[\w.:]+!?\(.*\)[;,]?\s*$|^\s*[\"']?\w+[\"']?:\s*\S*,?\s*$")
-_CODE_HINT = re.compile(r"[(){}\[\];=@#*/:<]|^\s*(?:import|from|package|use|require|source|return|elif|else|try|except|finally|end|fi|done|esac|echo|case|begin|rescue)\b|--|\bdo\s*$")
+    r"(?://|/?\*|#!|#include\b|--\s|@\w+|[{}()\[\];]+[;,]?$"
+    r"|(?:import|from|package|use|require|source)\s+\S+.*$"
+    r"|(?:def|class|func|fn|pub|public|private|protected|static|const|let|var|function|export|async|struct|enum)\b.*[({=:]"
+    r"|(?:return|elif|else|try|except|finally|end|fi|done|esac|echo|case|begin|rescue)\b[^.]*$"
+    r"|(?:if|for|while|with|switch|match)\b.*[:{)]$"
+    r"|[\w.\[\]]+(?:,\s*\w+)*\s*(?:[-+*/:]?=|<<)\s*\S|[\w.:]+!?\(.*\)[;,]?$|[\"']?\w+[\"']?:\s*\S*,?$)")
+#: A line without any of these characters, and not begun by one of these words, is no code.
+_CODE_SIGNS = re.compile(r"[(){}\[\];=@#*/:]|--")
+_CODE_WORDS = frozenset("import from package use require source return elif else try except finally end fi done esac echo case begin rescue do".split())
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿\x00-\x08\x0b\x0c\x0e-\x1f]")
 
 
 def _words_of(piece: str) -> list[str]:
-    """The words of a piece between white space that is not plainly one word."""
+    """The words of a piece between white space that is not plainly one word. A
+    run of more than ``RUN`` word characters is data."""
+    if len(piece) > RUN:
+        return [w for part in re.findall(r"[\w'’-]+", piece) if len(part) <= RUN for w in _words_of(part)]
     if _NAME.search(piece):
         piece = _NAME.sub(" ", piece)
     return _WORD.findall(piece.lower())
@@ -78,15 +85,16 @@ def prose_words(text: str | None) -> list[str]:
         text = _FENCED.sub("\n", text)
     kept, code = [], 0
     for line in text.split("\n"):
-        start = line.lstrip()
+        start = line.strip()
         if not start or (start[0] in _ODD_STARTS and _LINE.match(line)):
             continue
         if "://" in line or "@" in line or "www." in line:
-            line = _ADDRESS.sub(" ", line)
-            if not line.strip():
+            start = _ADDRESS.sub(" ", start).strip()
+            if not start:
                 continue
-        kept.append(line)
-        if _CODE_HINT.search(line) and line.count(" ") < 20 + line.count("    ") * 4 and _CODE_LINE.search(line):
+        kept.append(start)
+        if start.count(" ") < 20 and (start[-1] in ";{}" or (
+                (_CODE_SIGNS.search(start) or start.partition(" ")[0] in _CODE_WORDS) and (_CODE_LINE.match(start) or start.endswith((" do", "|"))))):
             code += 1
     if code * 3 > len(kept):
         return []
@@ -96,7 +104,7 @@ def prose_words(text: str | None) -> list[str]:
     words = []
     for piece in text.split():
         bare = piece.strip(".,;:!?()\"*…")
-        if bare.isalpha() and (bare.islower() or bare[1:].islower() or len(bare) == 1):
+        if len(bare) <= RUN and bare.isalpha() and (bare.islower() or bare[1:].islower() or len(bare) == 1):
             words.append(bare.lower())
         elif bare:
             words += _words_of(piece)
