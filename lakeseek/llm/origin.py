@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -187,29 +188,25 @@ FILE_GIVEN_FOLDER = [[0.90, 0.03, 0.02, 0.02, 0.03], [0.20, 0.74, 0.02, 0.02, 0.
                      [0.10, 0.03, 0.05, 0.78, 0.04], [0.25, 0.03, 0.03, 0.03, 0.66]]
 FOLDER_GIVEN_PARENT = [[0.92, 0.02, 0.02, 0.02, 0.02], [0.12, 0.82, 0.02, 0.02, 0.02], [0.12, 0.02, 0.82, 0.02, 0.02],
                        [0.05, 0.02, 0.02, 0.89, 0.02], [0.12, 0.02, 0.02, 0.02, 0.82]]
-#: The prior over the roots' labels, and the most one message may say (log odds), so that no crowd of siblings silences a file.
-ROOT, LIMIT = [0.96, 0.01, 0.01, 0.01, 0.01], 6.0
+#: The prior over the roots' labels. No message says more than the smallest of
+#: these probabilities allows, so a crowd of siblings cannot silence clear evidence.
+ROOT = [0.96, 0.01, 0.01, 0.01, 0.01]
 
 
-def _logsum(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(sum((F.exp(t - top) for t in terms[1:]), F.exp(terms[0] - top)))
-
-
-def _bounded(scores: list[Column]) -> list[Column]:
-    """Scores relative to their maximum, none below -LIMIT."""
+def _weighed(df: DataFrame, scores: list[Column]) -> DataFrame:
+    """Add p0..p4: the labels' probabilities, up to a factor, from log scores."""
     top = F.greatest(*scores)
-    return [F.greatest(s - top, F.lit(-LIMIT)) for s in scores]
+    return df.withColumns({f"p{i}": F.exp(s - top) for i, s in enumerate(scores)})
 
 
-def _to_parent(scores: list[Column], given: list[list[float]]) -> list[Column]:
-    """The message from a child with these scores: per label of the parent."""
-    return [_logsum([s + math.log(given[d][l]) for l, s in enumerate(scores)]) for d in range(5)]
+def _to_parent(given: list[list[float]]) -> list[Column]:
+    """The log message from a child with p0..p4: per label of the parent."""
+    return [F.log(sum((F.col(f"p{l}") * given[d][l] for l in range(1, 5)), F.col("p0") * given[d][0])) for d in range(5)]
 
 
-def _to_child(scores: list[Column], given: list[list[float]]) -> list[Column]:
-    """The message from a parent with these scores: per label of the child."""
-    return [_logsum([s + math.log(given[d][l]) for d, s in enumerate(scores)]) for l in range(5)]
+def _to_child(given: list[list[float]]) -> list[Column]:
+    """The log message from a parent with p0..p4: per label of the child."""
+    return [F.log(sum((F.col(f"p{d}") * given[d][l] for d in range(1, 5)), F.col("p0") * given[0][l])) for l in range(5)]
 
 
 def _folder_hint(name: Column) -> list[Column]:
@@ -224,8 +221,8 @@ def propagate(files: DataFrame) -> DataFrame:
     """file and a score per label (s0..s4) after both passes."""
     key = ["collection", "folder"]
     cols = [F.col(e) for e in _E]
-    said = _bounded(_to_parent(cols, FILE_GIVEN_FOLDER))
-    files = files.withColumns({f"m{i}": m for i, m in enumerate(said)})
+    files = _weighed(files, cols).withColumns({f"m{i}": m for i, m in enumerate(_to_parent(FILE_GIVEN_FOLDER))})
+    files = cut(files.select("file", *key, *_E, *[f"m{i}" for i in range(5)]))
     own = files.groupBy(*key).agg(*[F.sum(f"m{i}").alias(f"e{i}") for i in range(5)])
     # Every folder and its ancestors, with what the names say.
     parts = F.split("folder", "/")
@@ -239,10 +236,11 @@ def propagate(files: DataFrame) -> DataFrame:
         return files.select("file", *[F.col(f"e{i}").alias(f"s{i}") for i in range(5)])
     parent = F.when(F.col("depth") <= 1, "").otherwise(F.expr("substring_index(folder, '/', depth - 1)"))
     # Up: each level's folders tell their parents.
+    said = [f"u{i}" for i in range(5)]
     up = {deepest: base.where(F.col("depth") == deepest)}
     for depth in range(deepest, 0, -1):
-        told = _bounded(_to_parent(cols, FOLDER_GIVEN_PARENT))
-        up[depth] = cut(up[depth].withColumns({f"u{i}": u for i, u in enumerate(told)}).withColumn("parent", parent))
+        told = _weighed(up[depth], cols).withColumns(dict(zip(said, _to_parent(FOLDER_GIVEN_PARENT))))
+        up[depth] = cut(told.select(*key, *_E, *said, parent.alias("parent")))
         messages = up[depth].groupBy("collection", F.col("parent").alias("folder")).agg(*[F.sum(f"u{i}").alias(f"e{i}") for i in range(5)])
         here = base.where(F.col("depth") == depth - 1).select(*key, *_E)
         up[depth - 1] = here.unionByName(messages).groupBy(*key).agg(*[F.sum(e).alias(e) for e in _E]).withColumn("depth", F.lit(depth - 1))
@@ -251,17 +249,13 @@ def propagate(files: DataFrame) -> DataFrame:
     beliefs = [down]
     for depth in range(1, deepest + 1):
         above = down.select("collection", F.col("folder").alias("parent"), *[F.col(e).alias(f"b{i}") for i, e in enumerate(_E)])
-        rest = [F.col(f"b{i}") - F.col(f"u{i}") for i in range(5)]
-        heard = _bounded(_to_child(_bounded(rest), FOLDER_GIVEN_PARENT))
-        down = cut(up[depth].join(above, ["collection", "parent"]).select(*key, *[(F.col(e) + h).alias(e) for e, h in zip(_E, heard)]))
+        heard = _weighed(up[depth].join(above, ["collection", "parent"]), [F.col(f"b{i}") - F.col(f"u{i}") for i in range(5)])
+        down = cut(heard.select(*key, *[(F.col(e) + h).alias(e) for e, h in zip(_E, _to_child(FOLDER_GIVEN_PARENT))]))
         beliefs.append(down)
-    whole = beliefs[0]
-    for b in beliefs[1:]:
-        whole = whole.unionByName(b)
+    whole = reduce(DataFrame.unionByName, beliefs)
     around = whole.select(*key, *[F.col(e).alias(f"b{i}") for i, e in enumerate(_E)])
-    rest = _bounded([F.col(f"b{i}") - F.col(f"m{i}") for i in range(5)])
-    heard = _to_child(rest, FILE_GIVEN_FOLDER)
-    return files.join(around, key).select("file", *[(F.col(e) + h).alias(f"s{i}") for i, (e, h) in enumerate(zip(_E, heard))])
+    heard = _weighed(files.join(around, key), [F.col(f"b{i}") - F.col(f"m{i}") for i in range(5)])
+    return heard.select("file", *[(F.col(e) + h).alias(f"s{i}") for i, (e, h) in enumerate(zip(_E, _to_child(FILE_GIVEN_FOLDER)))])
 
 
 def origins(files: DataFrame) -> DataFrame:
@@ -273,6 +267,7 @@ def origins(files: DataFrame) -> DataFrame:
     seen = cut(with_copies(features(files)))
     scores = propagate(seen)
     cols = [F.col(f"s{i}") for i in range(5)]
-    top = F.greatest(*cols)
-    label = F.coalesce(*[F.when(c == top, name) for c, name in zip(cols, LABELS)])
-    return scores.select(F.col("file").alias("file_id"), label.alias("label"), F.round(F.exp(top - _logsum(cols)), 6).alias("confidence"))
+    weighed = _weighed(scores, cols)
+    label = F.coalesce(*[F.when(F.col(f"p{i}") == 1.0, name) for i, name in enumerate(LABELS)])
+    total = sum((F.col(f"p{i}") for i in range(1, 5)), F.col("p0"))
+    return weighed.select(F.col("file").alias("file_id"), label.alias("label"), F.round(1.0 / total, 6).alias("confidence"))
