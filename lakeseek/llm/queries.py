@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeseek.llm import docpairs, encoding, fusion, origin, packing, reading, terms
+from lakeseek.llm.syntax import validity
 from lakeseek.session import read
 
 
@@ -29,6 +30,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_frequencies(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return validity.unparsed_files(read(spark, d, "file_info")).select("file_id")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return validity.rates(read(spark, d, "file_info"))
+
+
 def p4_ranking(spark: SparkSession, d: str) -> DataFrame:
     fused = fusion.fuse(read(spark, d, "search_results"), "query_id", "point_id", "branch", "point_type", "score")
     return fused.select(F.col("query").alias("query_id"), F.col("point").alias("point_id"), F.round("fused", 9).alias("fused"))
@@ -75,7 +84,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p10_found": p10_found, "p10_levels": p10_levels,
     "p1_found": p1_found, "p1_scores": p1_scores, "p2_found": p2_found, "p2_frequencies": p2_frequencies,
-    "p4_found": p4_found, "p4_ranking": p4_ranking, "p6_found": p6_found, "p6_origins": p6_origins,
+    "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_ranking": p4_ranking, "p6_found": p6_found, "p6_origins": p6_origins,
     "p7_found": p7_found, "p7_pairs": p7_pairs, "p8_ids": p8_ids, "p9_packing": p9_packing,
 }
 
