@@ -73,7 +73,7 @@ class Grammar:
         for line in merged:
             if line.startswith("%seq"):
                 _, name, *cuts = line.split()
-                self.sequences[name] = "".join(NEWLINE if c == "NL" else self.tokens[c.strip("'")] for c in cuts)
+                self.sequences[name] = "".join({"NL": NEWLINE, "B": "B"}.get(c) or self.tokens[c.strip("'")] for c in cuts)
                 continue
             name, extends, body = re.match(r"(\w+)\s*(\|?)[:=]\s*(.*)$", line).groups()
             rule = self._rule(name)
@@ -251,9 +251,10 @@ class Grammar:
 
     @staticmethod
     def _pieces(text: str, cuts: str) -> list[str]:
-        pieces, start = [], 0
+        """Cut after each of the given tokens, and after curly parts if ``B`` is among them."""
+        pieces, start, curly = [], 0, "B" in cuts
         for i, c in enumerate(text):
-            if c in cuts:
+            if c in cuts and c != "B" or curly and 0x50000 <= ord(c) < 0x60000:
                 pieces.append(text[start:i + 1])
                 start = i + 1
         if start < len(text):

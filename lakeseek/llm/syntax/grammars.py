@@ -9,8 +9,9 @@ from lakeseek.llm.syntax.gll import Grammar
 _CLASSES = {"ID": "I", "NUM": "N", "STR": "S", "TPL": "T", "REX": "R", "CHR": "C", "NL": "\n", "LIFE": "L", "WORD": "W", "OP": "O"}
 
 JS = r"""
+%seq Module ';' NL
 %seq Stmts ';' NL
-%seq Members ';' NL
+%seq Members ';' NL B
 Module: Stmts
 Stmts: Stmt*
 Semi: ';' | NL | END
@@ -187,7 +188,7 @@ Value: Expr | B[Elems]
 
 JAVA = r"""
 %seq Stmts ';'
-%seq Members ';'
+%seq Members ';' B
 Unit: Annots? ('package' Qual ';')? (Import | ';')* (TypeDecl | ';')*
 Compact: (Import | ';')* Member+
 Import: 'import' 'static'? Qual ('.' '*')? ';' | 'import' 'module' Qual ';'
@@ -255,7 +256,10 @@ ArrDims: S[Expr]+ Dims
 JAVA_SOFT = "record sealed permits yield when module"
 
 RUST = r"""
-%seq Items ';'
+%seq File ';' B
+%seq Items ';' B
+%seq Block ';'
+%seq Any ';' ','
 File: Inner* Items
 Inner: '#' '!' S[Any]
 Items: Item*
@@ -336,7 +340,7 @@ FInit: Attr* ((ID | NUM) (':' Expr)? | '..' Expr?)
 RUST_SOFT = "union auto default box raw"
 
 C = r"""
-%seq Unit ';'
+%seq Unit ';' B
 %seq Stmts ';'
 Unit: (Ext | ';' | PRE)*
 Ext: Specs Declarators? ';' | Specs? Declarator KR* B[Stmts] | 'extern' STR (B[Unit] | Ext) | '_Static_assert' P[Args] ';' | ('asm' | '__asm__') P[Any] ';' | ID P[Args]
@@ -389,6 +393,7 @@ StmtExpr: B[Stmts]
 """
 
 PYTHON = r"""
+%seq File NL
 %seq Lines NL
 File: Lines
 Lines: Line*
@@ -466,6 +471,7 @@ Pair: Expr ':' Expr | '**' Expr
 PYTHON_SOFT = "match case type _"
 
 RUBY = r"""
+%seq File NL ';'
 %seq Stmts NL ';'
 File: Stmts
 Stmts: (Stmt0 | NL | ';')*
@@ -529,6 +535,7 @@ Then0: Sep? 'then' | Sep |
 """
 
 BASH = r"""
+%seq File NL ';'
 %seq List NL ';'
 File: List
 List: (Sep | Item)*
