@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: the form of a collection's id.
 COLLECTION_ID = r"^codesearch_[a-f0-9]{12}$"
@@ -58,14 +59,22 @@ class SnapshotStore:
 
     def read(self) -> DataFrame | None:
         n = self.version()
-        return self.spark.read.parquet(f"{self.root}/snapshot={n}") if n else None
+        if not n:
+            return None
+        java_io = self._jvm.java.io
+        reader = java_io.BufferedReader(java_io.InputStreamReader(self._fs.open(self._path(f"commits/{n}"))))
+        try:
+            schema = StructType.fromJson(json.loads(reader.readLine())["schema"])
+        finally:
+            reader.close()
+        return self.spark.read.schema(schema).parquet(f"{self.root}/snapshot={n}")
 
     def write(self, points: DataFrame) -> int:
         n = self.version() + 1
         points.write.mode("overwrite").partitionBy("collection").parquet(f"{self.root}/snapshot={n}")
         draft, final = self._path(f"drafts/{uuid.uuid4().hex}"), self._path(f"commits/{n}")
         out = self._fs.create(draft, True)
-        out.write((json.dumps({"snapshot": n}) + "\n").encode())
+        out.write((json.dumps({"snapshot": n, "schema": points.schema.jsonValue()}) + "\n").encode())
         out.close()
         self._fs.mkdirs(final.getParent())
         if self._fs.exists(final) or not self._fs.rename(draft, final):

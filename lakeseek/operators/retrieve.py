@@ -111,7 +111,7 @@ def dense_batch(vectors: DataFrame, queries: DataFrame, k: int, id_column: str =
 
 def _nearest(vectors: DataFrame, own: list, k: int, id_column: str, block: int) -> DataFrame:
     ids = np.array([r[0] for r in own], dtype=np.int64)
-    matrix = np.array([r[1] for r in own], dtype=np.float64).reshape(len(own), -1)
+    matrix = np.array([r[1] for r in own], dtype=np.float64).reshape(len(own), -1 if own else 0)
     norms = np.linalg.norm(matrix, axis=1)
     sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix / np.where(norms == 0, 1, norms)[:, None]))
 
@@ -120,6 +120,8 @@ def _nearest(vectors: DataFrame, own: list, k: int, id_column: str, block: int)
         best_s = np.full((len(ids), k), -np.inf)
         best_p = np.full((len(ids), k), np.iinfo(np.int64).max)
         for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
             points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             values_ = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(len(points), -1)
             size = np.linalg.norm(values_, axis=1)

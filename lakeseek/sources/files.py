@@ -113,7 +113,7 @@ def valid_since(since: str) -> str:
     """A revision or ``N.units.ago``; anything that git could take for an option or a range is refused."""
     if _AGO.match(since):
         return since.replace(".", " ")
-    if since.endswith("ago") or not _REVISION.match(since):
+    if re.search(r"\bago|[. ]ago", since) or not _REVISION.match(since):
         raise ValueError(f"not a revision or a time: {since!r}")
     return since
 
