@@ -159,9 +159,13 @@ def _lex_python(text: str, tokens: list[tuple], heads: dict[int, str]) -> list[t
                 if not indents:
                     indents.append(width)
                 grown = width > indents[-1]
+                # Blocks end with their last code; comments after it belong to what follows.
+                ended = len(rows)
+                while ended and rows[ended - 1][0] == "c" and rows[ended - 1][1] > last_code:
+                    ended -= 1
                 while len(indents) > 1 and width < indents[-1]:
                     indents.pop()
-                    rows.append(("e", last_code, last_code, None, None))
+                    rows.insert(ended, ("e", last_code, last_code, None, None))
                 if grown:
                     indents.append(width)
                     rows.append(("o", line, line, None, None))
@@ -302,7 +306,7 @@ _DIRECTIVE = re.compile(
     r"|clang-format\s+(?:on|off)|clang-tidy.*|cppcheck-suppress.*|gcovr?_excl\w*|lcov_excl\w*|checkstyle:.*|pmd.*|cspell:.*|spell-?checker:.*|biome-ignore.*|deno-\w+.*|webpack\w*:.*|@__pure__|@flow\b.*"
     r"|rubocop:.*|reek:.*|sorbet:.*|typed:.*|frozen_string_literal:.*|shellcheck\s.*|go:\w+.*|\+build.*|rustfmt.*|clippy::.*|cbindgen:.*|swiftlint:.*|ktlint-.*|sonar\w*:.*|suppress\w*\b.*|codecov.*|language=.*|region\b.*|endregion\b.*|@formatter:\w+|vim?:.*|-\*-.*|#?(?:end)?region.*|skipcq.*)$", re.I)
 _PLACEHOLDER = re.compile(
-    r"^(?:\W*(?:todo|fixme|xxx|hack|tbd|tbc|wip|tba|n/?a|none|nothing|null|placeholder|undocumented|foo|bar|test)\b(?:\W*$|\s*(?:[:(\-–—].*|.{0,80}$)))"
+    r"^(?:\W*(?:(?-i:TODO|FIXME|XXX|HACK|TBD|TBC|WIP|TBA)\b.*|(?:todo|fixme)\s*[:(\-–—].*|(?:todo|fixme|xxx|hack|tbd|tbc|wip|tba|n/?a|none|nothing|null|placeholder|undocumented|foo|bar|test)\b\W*)$)"
     r"|^\W*(?:(?:(?:please\s+)?(?:add|insert|write|fill\s+in|put|enter|provide|your|the|a|an|some|this|no|missing|need|needs|needed|lacks?|without)\s+)+(?:(?:the|a|an|some|your|method|function|short|brief|proper|better)\s+)*"
     r"(?:docs?|docstrings?|documentation|descriptions?|comments?|summary|text|javadoc|jsdoc)(?:\s+(?:here|yet|available|later|needed|required|missing|string|goes here))*"
     r"|(?:docs?|docstring|documentation|descriptions?|comments?|summary)\s*(?:goes here|here|missing|pending|needed|to be (?:added|written|done)|to come|tbd|todo|to do|follows|later|:?)"
@@ -402,4 +406,5 @@ def function_pairs(chunks: DataFrame, files: DataFrame) -> DataFrame:
     texts = chunks.where(F.col("content").isNotNull()).groupBy(F.col("chunk_id").cast("long").alias("chunk_id")).agg(F.first("content").alias("content"))
     lines = F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n", -1)
     code = F.array_join(F.slice(lines, F.col("first_line"), F.col("last_line") - F.col("first_line") + 1), "\n")
-    return found.join(texts, "chunk_id").select("chunk_id", "function_name", code.alias("code"), "doc")
+    own = texts.withColumnRenamed("chunk_id", "of")
+    return found.join(own, F.col("chunk_id").eqNullSafe(F.col("of"))).select("chunk_id", "function_name", code.alias("code"), "doc")

@@ -53,7 +53,8 @@ class Grammar:
 
     def __init__(self, text: str, classes: dict[str, str], soft: str = "", keyword_names: bool = True):
         """``classes`` maps class names to token characters; ``soft`` lists
-        keywords that also are of class ID; the class NAME is ID and every word token."""
+        keywords that also are of class ID; the class NAME is ID and, with
+        ``keyword_names``, every word token."""
         self.rules: dict[str, Rule] = {}
         self.tokens: dict[str, str] = {}
         self.sequences: dict[str, str] = {}
@@ -69,7 +70,7 @@ class Grammar:
                 self.tokens[literal] = literal if literal in "()[]{};" else chr(0x100 + len(self.tokens))
         ids = classes["ID"] + "".join(self.tokens[w] for w in soft.split())
         words = "".join(c for w, c in self.tokens.items() if re.match(r"[^\W\d]", w))
-        self.classes = {k: frozenset(v) for k, v in (classes | {"ID": ids, "NAME": ids + words}).items()}
+        self.classes = {k: frozenset(v) for k, v in (classes | {"ID": ids, "NAME": ids + words if keyword_names else ids}).items()}
         for line in merged:
             if line.startswith("%seq"):
                 _, name, *cuts = line.split()

@@ -474,9 +474,9 @@ RUBY = r"""
 %seq File NL ';'
 %seq Stmts NL ';'
 File: Stmts
-Stmts: (Stmt0 | NL | ';')*
+Stmts: (Stmt0 | NL | ';')* Stmt?
 Sep: NL | ';'
-Stmt0: Stmt (Sep | END)
+Stmt0: Stmt Sep
 Stmt: Expr (ModWord Expr)* | 'alias' Sym Sym | 'undef' Sym (',' Sym)* | 'BEGIN' B[Stmts] | 'END' B[Stmts]
 ModWord: 'if_mod' | 'unless_mod' | 'while_mod' | 'until_mod' | 'rescue_mod'
 Sym: NAME | STR | OP
@@ -544,10 +544,10 @@ Item: AndOr (Sep | '&' | END)
 AndOr: Pipe (('&&' | '||') NL* Pipe)*
 Pipe: ('!' | 'time')* Cmd (('|' | '|&') NL* Cmd)*
 Cmd: Simple | Compound Redir* | FuncDef
-Simple: (ASSIGN | Redir)+ (Word (Word | Redir | ASSIGN | P[Any])*)? | Redir* Word (Word | Redir | ASSIGN | ARR)*
+Simple: (Asg | Redir)+ (Word (Word | Redir | Asg)*)? | Redir* Word (Word | Redir | Asg)*
+Asg: ASSIGN P[Any]?
 Word: WORD | STR | 'in' | 'time' | '!' 
 Redir: RED Word
-ARR: P[Any]
 Any: (ANY | P[Any] | B[Any] | K[KwIn])*
 Compound: B[Group] | P[List] | P[Arith] | K[KwIn] | COND
 Arith: P[Any]
@@ -682,7 +682,7 @@ def grammar(language: str) -> Grammar:
     if language == "bash":
         return _with_any(BASH, "", {"ASSIGN": "A", "RED": "D", "COND": "Q", "PATT": "U"})
     if language == "sql":
-        return _with_any(SQL, SQL_SOFT, {"PARAM": "$"})
+        return _with_any(SQL, SQL_SOFT, {"PARAM": "$"}, keyword_names=False)
     if language == "json":
         return Grammar(JSON, _CLASSES)
     if language == "yaml":
@@ -693,15 +693,15 @@ def grammar(language: str) -> Grammar:
 #: SQL words that may also be names.
 SQL_SOFT = ("ACTION ADD ALL_ AT COLUMN COMMENT CONFLICT COPY DATABASE DATE DO DOMAIN ENGINE EXCLUDE EXTENSION FIRST FUNCTION GENERATED GLOBAL GROUPS IDENTITY IGNORE INCLUDE "
             "INDEX INITIALLY KEY LAST LOCAL MATCH MOD NO NOTHING NULLS OFFSET OWNER PROCEDURE RANGE RELEASE RENAME REPLACE ROLE ROW ROWS SCHEMA SEQUENCE SHOW START TEMP TIME TIMESTAMP TOP "
-            "TRIGGER TYPE USER VALUES VIEW WITHIN ZONE LEFT RIGHT RETURNING IF TRUNCATE TABLESAMPLE LATERAL")
+            "TRIGGER TYPE USER INTERVAL VIEW WITHIN ZONE LEFT RIGHT RETURNING IF TRUNCATE TABLESAMPLE LATERAL")
 
 
-def _with_any(text: str, soft: str, more: dict[str, str] | None = None) -> Grammar:
+def _with_any(text: str, soft: str, more: dict[str, str] | None = None, keyword_names: bool = True) -> Grammar:
     """A grammar with the class ANY: every token but brackets."""
     classes = _CLASSES | (more or {})
-    probe = Grammar(text, classes | {"ANY": "?"}, soft)
+    probe = Grammar(text, classes | {"ANY": "?"}, soft, keyword_names)
     every = "".join(c for c in probe.tokens.values() if c not in "()[]{}") + "".join(classes.values())
-    return Grammar(text, classes | {"ANY": every}, soft)
+    return Grammar(text, classes | {"ANY": every}, soft, keyword_names)
 
 
 #: Dialects: the rules a file of the language may start from; it is rejected if all of them reject it.

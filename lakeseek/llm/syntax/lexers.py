@@ -86,8 +86,9 @@ def _script(language: str):
     ends = "INSTR)]}" + "".join(t[w] for w in ("this", "null", "true", "false", "super", "return", "break", "continue", "yield", "++", "--", "debugger", "static") + tuple(lexer.grammar.tokens[w] and w for w in ("of", "async", "get", "set", "from", "as", "type", "let")))
     if language == "typescript":
         ends += "".join(t[w] for w in ("!", "?", ">", "void", "any", "is", "keyof") if w in t) + "".join(t[w] for w in ("declare", "abstract", "readonly", "module", "namespace", "enum", "unique"))
-    joins = ".,)];:?({[T" + "".join(t[w] for w in (".", ",", ":", "?", "?.", "=>", "=", "==", "===", "!=", "!==", "<", "<=", ">", "&&", "||", "??", "+", "-", "*", "/", "%", "&", "|", "^", "**", "+=", "-=", "in", "instanceof", "of", "else", "catch", "finally", "extends") if w in t) + "}"
-    drop = re.compile(f"(?<![{re.escape(ends)}])\n|\n(?![^{re.escape(joins)}])")
+    joins = ".,)];:?({[T" + "".join(t[w] for w in (".", ",", ":", "?", "?.", "=>", "=", "==", "===", "!=", "!==", "<", "<=", ">", "&&", "||", "??", "+", "-", "*", "/", "%", "&", "|", "^", "**", "+=", "-=", "in", "instanceof", "of", "extends") if w in t) + "}"
+    clauses = "".join(t[w] for w in ("else", "catch", "finally"))
+    drop = re.compile(f"(?<![{re.escape(ends)}])\n|\n(?![^{re.escape(joins)}])|(?<=}})\n(?=[{clauses}])")
 
     def lex(text: str) -> str | None:
         out = lexer.tokens(re.sub(r"\A#![^\n]*", "", text))
@@ -532,7 +533,7 @@ def _bash():
                 if w[-1].isdigit() or w[-1] == "-" and "&" in w:
                     out.append("W")
                 continue
-            elif start and assign.match(w):
+            elif assign.match(w) and (start or text[at:at + 1] == "("):
                 out.append("A")
                 continue
             elif w in "\"'`$" or ord(c) < 32:
