@@ -265,7 +265,7 @@ def origins(files: DataFrame) -> DataFrame:
     path stands at the root. Ties go to the earlier label, hand-written first.
     """
     seen = cut(with_copies(features(files)))
-    scores = propagate(seen)
+    scores = cut(propagate(seen))
     cols = [F.col(f"s{i}") for i in range(5)]
     weighed = _weighed(scores, cols)
     label = F.coalesce(*[F.when(F.col(f"p{i}") == 1.0, name) for i, name in enumerate(LABELS)])
