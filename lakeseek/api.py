@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import time
 from collections import OrderedDict
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from lakeseek import render
 from lakeseek.functions import text
-from lakeseek.operators import catalog, changes, filters, indexing, ranking, retrieve
+from lakeseek.operators import catalog, changes, embedding, filters, indexing, ranking, retrieve
 from lakeseek.plans import dsl, planner
+from lakeseek.session import ship
 from lakeseek.sources import files as sources
 
 SEARCH_LIMIT, REFERENCE_LIMIT, MAX_PUSHED_PATHS = 10, 20, 500
@@ -62,12 +65,29 @@ def search_multiple(points: DataFrame, query: str, collections: list[str], limit
     return ranking.fused_across(whole, "number", F.col("source"), checked_limit(limit))
 
 
+def described(error: BaseException, most: int = 4) -> str:
+    """An error and what caused it, never empty."""
+    out, seen = [], error
+    while seen is not None and len(out) < most:
+        out.append(f"{type(seen).__name__}: {seen}".rstrip(": "))
+        seen = seen.__cause__ or seen.__context__
+    return " <- ".join(out)
+
+
 class Engine:
-    """Corpora under one folder: index, search, inspect and remove them."""
+    """Corpora under one folder: index, search, inspect and remove them.
+
+    With an ``embedder`` (texts to vectors) and its ``model`` name, points get
+    dense vectors and searches are hybrid; without, they are sparse and exact.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, ttl: float = 300.0, cache_size: int = 100):
-        self.spark, self.root = spark, root
+    REGISTRY = "collection string, codebase_path string, embedding_model string, embedding_dim int, updated_at timestamp"
+
+    def __init__(self, spark: SparkSession, root: str, embedder: embedding.Embedder | None = None, model: str | None = None, ttl: float = 300.0, cache_size: int = 100):
+        self.spark, self.root, self.embedder, self.model = spark, root, embedder, model
         self.store = catalog.SnapshotStore(spark, f"{root}/points")
+        self.vectors = catalog.SnapshotStore(spark, f"{root}/vectors")
+        self.registry = catalog.SnapshotStore(spark, f"{root}/collections")
         self.ttl, self.cache_size, self.cache = ttl, cache_size, OrderedDict()
 
     def collection(self, path: str) -> str:
@@ -76,6 +96,7 @@ class Engine:
     def index(self, path: str, force: bool = False) -> dict[str, int]:
         """Bring a corpus up to date: only new or changed files are chunked."""
         own = self.collection(path)
+        self._guard(own)
         disk = sources.discover(self.spark, path).withColumn("collection", F.lit(own)).withColumn("file_id", F.xxhash64("rel_path")).persist()
         try:
             old = self.store.read()
@@ -95,11 +116,72 @@ class Engine:
                 if kept is not None and gone is not None:
                     kept = kept.join(gone, ["collection", "path"], "left_anti")
                 self.store.write(made if kept is None else kept.select(*made.columns).unionByName(made))
+                self._embed(own)
+                self._register(own, path)
                 self.invalidate(path)
             return {s: counts.get(s, 0) for s in ("added", "modified", "deleted")}
         finally:
             disk.unpersist()
 
+    def _guard(self, own: str) -> None:
+        """Refuse another embedding model or dimension than the collection has."""
+        known = self.registry.read()
+        row = None if known is None else known.where(F.col("collection") == own).first()
+        if row is None or self.embedder is None:
+            return
+        embedding.check_model(row["embedding_model"], self.model)
+        stored = self.vectors.read()
+        if stored is not None:
+            embedding.check_dimension(stored.where(F.col("collection") == own), len(self.embedder(["a"])[0]))
+
+    def _embed(self, own: str) -> None:
+        """Vectors for the points of a collection that have none yet; those of gone points go."""
+        if self.embedder is None:
+            return
+        ship(self.spark)
+        points = self.store.read().where(F.col("collection") == own)
+        old = self.vectors.read()
+        if old is None:
+            self.vectors.write(embedding.embed(points, self.embedder))
+            return
+        ids = points.select(F.col("point_id").alias("vec_id"))
+        fresh = embedding.embed(points.join(old.select(F.col("vec_id").alias("point_id")), "point_id", "left_anti"), self.embedder)
+        others = old.where(F.col("collection") != own)
+        self.vectors.write(others.unionByName(old.where(F.col("collection") == own).join(ids, "vec_id", "left_semi").select(*others.columns)).unionByName(fresh.select(*others.columns)))
+
+    def _register(self, own: str, path: str) -> None:
+        dim = len(self.embedder(["a"])[0]) if self.embedder else None
+        row = [(own, str(Path(path).resolve()), self.model, dim, datetime.now(timezone.utc))]
+        self.registry.upsert(self.spark.createDataFrame(row, self.REGISTRY), ["collection"])
+
+    def auto_index(self, path: str) -> tuple[str, str | None]:
+        """(message, error) of bringing a corpus up to date; one of them is empty."""
+        try:
+            counts = self.index(path)
+        except Exception as e:  # noqa: BLE001 - the caller shows the message
+            return "", f"indexing failed: {described(e)}"
+        return render.index_message({"files": counts["added"] + counts["modified"], "deleted": counts["deleted"]}, {}), None
+
+    def collections(self) -> DataFrame:
+        """collection, codebase_path, embedding_model, verdict: whether each codebase still exists on this host."""
+        known = self.registry.read()
+        if known is None:
+            return self.spark.createDataFrame([], "collection string, codebase_path string, embedding_model string, verdict string")
+        paths = [r["codebase_path"] for r in known.select("codebase_path").distinct().collect()]
+        seen = self.spark.createDataFrame([(p, _present(p)) for p in paths if p], "codebase_path string, present boolean")
+        return known.select("collection", "codebase_path", "embedding_model").join(catalog.verdicts(known, seen), "collection")
+
+    def cleanup_orphans(self) -> dict[str, str]:
+        """Remove the collections whose codebase is confirmed gone; goes on after a failure."""
+        out = {}
+        for r in self.collections().where(F.col("verdict") == "orphan").collect():
+            try:
+                self.delete(collection_id=r["collection"])
+                out[r["collection"]] = "deleted"
+            except Exception as e:  # noqa: BLE001 - the others still have to go
+                out[r["collection"]] = described(e)
+        return out
+
     def points(self, path: str) -> DataFrame | None:
         whole = self.store.read()
         return None if whole is None else whole.where(F.col("collection") == self.collection(path))
@@ -113,6 +195,8 @@ class Engine:
         if kept and time.monotonic() - kept[0] < self.ttl:
             return kept[1]
         points = self.points(path)
+        if self.embedder and points is not None and "query_vector" not in options:
+            options |= {"vectors": self.vectors.read(), "query_vector": self.embedder([query])[0]}
         rows = [] if points is None else [r.asDict() for r in planner.search(points, query, checked_limit(limit), **options).collect()]
         hint = dsl.infer_language(query)
         out = (f"(language hint: {hint})\n" if hint and form == "text" else "") + render.results(rows, form)
@@ -148,5 +232,18 @@ class Engine:
             raise ValueError(f"not a collection id: {own!r}")
         if self.store.read() is None:
             return False
-        self.store.delete_collection(own)
+        for store in (self.registry, self.vectors, self.store):
+            if store.read() is not None:
+                store.delete_collection(own)
+        return True
+
+
+def _present(path: str) -> bool | None:
+    """Whether a path exists; null if that can't be told."""
+    try:
+        os.stat(path)
         return True
+    except FileNotFoundError:
+        return False
+    except OSError:
+        return None

@@ -45,10 +45,21 @@ def query_tokens(session_points: DataFrame, query: str) -> list[str]:
     return list(one.first()["t"])
 
 
-def hybrid(points: DataFrame, query: str, vectors: DataFrame | None, query_vector: list[float] | None, limit: int) -> tuple[DataFrame, bool]:
+def known_tokens(points: DataFrame, tokens: list[str]) -> list[str]:
+    """The tokens with those that no point holds replaced by the closest of the
+    vocabulary, or dropped. Only the few tokens of the query come to the driver."""
+    known = {r["token"] for r in retrieve.document_frequency(points).where(F.col("token").isin(*tokens)).select("token").collect()} if tokens else set()
+    unknown = [t for t in tokens if t not in known]
+    near = {r["term"]: r["token"] for r in retrieve.nearest_terms(points, unknown).collect()} if unknown else {}
+    return [t if t in known else near[t] for t in tokens if t in known or t in near]
+
+
+def hybrid(points: DataFrame, query: str, vectors: DataFrame | None, query_vector: list[float] | None, limit: int, fuzzy: bool = False) -> tuple[DataFrame, bool]:
     """Fused dense and sparse retrieval; sparse alone (degraded) without a query vector.
-    Scores are scaled by the largest a point could reach."""
+    Scores are scaled by the largest a point could reach. ``fuzzy`` also looks
+    for the closest words of those that no point holds."""
     tokens = query_tokens(points, query)
+    tokens = known_tokens(points, tokens) if fuzzy else tokens
     sparse = retrieve.sparse(points, tokens)
     if vectors is None or query_vector is None:
         scored, degraded = sparse, True
@@ -62,7 +73,8 @@ def hybrid(points: DataFrame, query: str, vectors: DataFrame | None, query_vecto
 
 
 def search(points: DataFrame, query: str, limit: int = 10, mode: str = "both", language: str | None = None, paths=None,
-           vectors: DataFrame | None = None, query_vector: list[float] | None = None, path_prefix: str | None = None, exclude_paths: list[str] | None = None) -> DataFrame:
+           vectors: DataFrame | None = None, query_vector: list[float] | None = None, path_prefix: str | None = None, exclude_paths: list[str] | None = None,
+           fuzzy: bool = False) -> DataFrame:
     """The ranked results of one query: retrieve, boost by path, filter, cut, normalise."""
     parsed = dsl.parse(query)
     if path_prefix is not None or exclude_paths:
@@ -76,7 +88,7 @@ def search(points: DataFrame, query: str, limit: int = 10, mode: str = "both", l
     if steps.kind in ("exact_phrase", "name_only"):
         found = exact(steps.text)
     else:
-        fused, _ = hybrid(pool, steps.text, vectors, query_vector, want)
+        fused, _ = hybrid(pool, steps.text, vectors, query_vector, want, fuzzy)
         found = ranking.boosted(fused).where(keep)
         lookup = steps.name if steps.kind == "name_semantic" else None
         if steps.kind == "semantic":
