@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeseek.functions import text, values
@@ -23,12 +23,19 @@ def chunk_rows(files: DataFrame) -> DataFrame:
                          F.col("content_hash").alias("file_hash"))
 
 
+def first_definitions(chunks: DataFrame, order: list[str]) -> DataFrame:
+    """collection, path and the labels of the first named chunks of each file. Ranks
+    cut every file to its first few before anything is gathered."""
+    label = chunking.definition_label(F.col("chunk_type"), F.col("name"))
+    ranked = chunks.where(F.col("name").isNotNull()).select(*KEY, *order, label.alias("label")).withColumn(
+        "n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order, "label"))).where(F.col("n") <= values.MAX_DEFINITIONS)
+    in_order = F.array_sort(F.collect_list(F.struct("n", "label")))
+    return ranked.groupBy(*KEY).agg(F.transform(in_order, lambda s: s["label"]).alias("defines"))
+
+
 def file_rows(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """The file points: a summary of description, imports and top-level definitions."""
-    label = chunking.definition_label(F.col("chunk_type"), F.col("name"))
-    defined = chunks.where(F.col("name").isNotNull()).groupBy("collection", "path").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("start_line", label.alias("label")))), lambda s: s["label"]).alias("defines"))
-    joined = files.withColumn("path", F.col("rel_path")).drop("rel_path").join(defined, KEY, "left")
+    joined = files.withColumn("path", F.col("rel_path")).drop("rel_path").join(first_definitions(chunks, ["start_line"]), KEY, "left")
     content, language = F.col("content"), F.col("language")
     none: Column = F.array().cast("array<string>")
     summary = chunking.file_summary(text.module_docstring(content, language), text.imports_of(content, language), F.coalesce("defines", none), content)

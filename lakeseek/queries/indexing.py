@@ -60,9 +60,8 @@ def module_docstring(spark, d):
 
 def file_summary(spark, d):
     f = files(spark, d).where(F.col("content").isNotNull())
-    label = chunking.definition_label(F.col("chunk_type"), F.col("name"))
-    chunks = read(spark, d, "chunk_points").where(F.col("name").isNotNull()).select("collection", "path", "start_line", "ordinal", label.alias("label")).distinct()
-    defined = chunks.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "ordinal", "label"))), lambda s: s["label"]).alias("defines"))
+    chunks = read(spark, d, "chunk_points").select(*KEYS, "start_line", "ordinal", "chunk_type", "name").distinct()
+    defined = indexing.first_definitions(chunks, ["start_line", "ordinal"])
     joined = f.withColumnRenamed("rel_path", "path").join(defined, KEYS, "left")
     summary = chunking.file_summary(F.lit(None).cast("string"), text.imports_of(F.col("content"), F.col("language")), F.coalesce("defines", F.array().cast("array<string>")), F.col("content"))
     return joined.where(F.col("language") == "python").select("file_id", summary.alias("summary"))

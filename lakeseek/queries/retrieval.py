@@ -401,3 +401,29 @@ SQL["expand_synonyms"] = ("with s(word, more) as (values " + ", ".join(f"('{k}',
     t as (select query_id, unnest(w) word, generate_subscripts(w, 1) pos from (select query_id, regexp_split_to_array(lower(query_text), '[^a-z0-9_]+') w from search_queries where query_text is not null)),
     h as (select t.*, more, sum((more is not null)::int) over (partition by query_id order by pos) n from t left join s using (word))
     select query_id, string_agg(case when more is not null and n <= 5 then more else word end, ' ' order by pos) expanded from h group by query_id""")
+
+# Whole searches. The snippet's or query's tokens, weighted by how often they occur in it, then the steps of the planner.
+_SIMILAR = tokens_sql("content")
+SQL["find_similar"] = f"""with {POINTS}, chunks as (select * from points where point_type = 'chunk'), snip as (select content from chunks where content is not null order by point_id limit 1),
+    q as (select token, count(*) c from (select unnest({_SIMILAR}) token from snip) group by token),
+    tf as (select point_id, token, count(*) tf from (select point_id, unnest({_SIMILAR}) token from chunks) where token in (select token from q) group by all),
+    w as (select token, ln(((select count(*) from chunks) + 1)::double / (count(*) + 1)) + 1 w from tf group by token),
+    s as (select point_id, round(sum(tf * w * c), 6) score from tf join w using (token) join q using (token) group by point_id order by score desc, point_id limit 15)
+    select point_id, round(score, 5) score from s join chunks using (point_id)
+    where content is null or regexp_replace(lower(content), '^\\s+|\\s+$', '', 'g') <> (select trim(lower(content), chr(10) || chr(13) || chr(9) || ' ') from snip) order by s.score desc, {_TIES} limit 10"""
+_FULL_TOKENS = "['expire', 'account', 'queue', 'list', 'fifo', 'handler', 'process', 'callback']"
+SQL["search_semantic_full"] = f"""with {POINTS}, {_sparse('points', _FULL_TOKENS)},
+    dense as (select e.vec_id point_id, {_COS} score from embeddings e, (select embedding from embeddings where vec_id = 0) q where e.vec_id in (select point_id from points) order by score desc, point_id limit 100),
+    x as (select point_id, row_number() over (order by score desc, point_id) r from dense), y as (select point_id, row_number() over (order by score desc, point_id) r from sparse),
+    f as (select coalesce(x.point_id, y.point_id) point_id, round(round(coalesce(1.0::double / (60 + x.r), 0) + coalesce(0.8::double / (60 + y.r), 0), 8) / (1.8::double / 61), 6) raw from x full join y on x.point_id = y.point_id
+          order by raw desc, point_id limit 40),
+    t as (select *, round(greatest(0, raw + {_BOOST}), 6) score from f join points using (point_id)), k as (select * from t order by score desc, {_TIES} limit 20), m as (select max(score) s from k)
+    select point_id, path, point_type, start_line, case when s > 0 then round(score / s, 6) else score end score, false degraded from k, m"""
+_NAME = "coalesce(contains(lower(\"name\"), 'expire'), false)"
+SQL["search_name_semantic"] = f"""with {POINTS}, {_sparse('points', "['queue', 'list', 'fifo', 'function', 'expire']")},
+    a as (select *, row_number() over (order by score desc, {_TIES}) pos, 0 list, false degraded from (select * from {_found('expire', _NAME)} order by score desc, {_TIES} limit 200)),
+    h as (select points.*, round(greatest(0, sparse.score + {_BOOST}), 6) score from sparse join points using (point_id) where {_NAME}),
+    b as (select *, row_number() over (order by score desc, {_TIES}) pos, 1 list, true degraded from h),
+    u as (select point_id, path, point_type, start_line, score, list, pos, degraded from a union all select point_id, path, point_type, start_line, score, list, pos, degraded from b),
+    k as (select * from (select *, row_number() over (partition by path, start_line order by list, pos) n from u) where n = 1 order by list, pos limit 20), m as (select max(score) s from k)
+    select point_id, path, point_type, start_line, case when s > 0 then round(score / s, 6) else score end score, degraded from k, m"""
