@@ -32,7 +32,7 @@ def test_long_text_is_matched_as_substring(spark):
 
 @pytest.mark.parametrize("path,prefix,hit", [
     ("src/a.py", "src", True), ("src/a.py", "src/", True), ("a.py", "src", False), ("lib/src.py", "src", False), ("my/src/a.py", "src", True),
-    ("src/main.py", "src/ma", True), ("src/mcpx/a.py", "src/mcp", True), ("a/b.py", "/", True), ("b.py", "/", False), ("lib/xsrc/ma.py", "src/ma", False)])
+    ("src/main.py", "src/ma", True), ("src/abcx/a.py", "src/abc", True), ("a/b.py", "/", True), ("b.py", "/", False), ("lib/xsrc/ma.py", "src/ma", False)])
 def test_path_prefix(spark, path, prefix, hit):
     assert one(spark, text.in_path(F.lit(path), prefix))[0] is hit
 
