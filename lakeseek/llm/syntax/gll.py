@@ -203,7 +203,7 @@ class Grammar:
         self.known: dict[tuple[int, str], bool] = {}
 
     def full(self) -> bool:
-        return len(self.part) > 200_000 or len(self.known) > 400_000 or len(self.alike) > 100_000
+        return len(self.part) > 100_000 or len(self.known) > 200_000 or len(self.alike) > 30_000
 
     def group(self, kind: str, content: str) -> str:
         """The character of a bracketed part."""

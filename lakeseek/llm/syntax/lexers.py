@@ -21,7 +21,7 @@ class Kinds(dict):
 
     def __missing__(self, token: str) -> str:
         kind = self.classify(token)
-        if len(self) > 300_000:  # names are unbounded; forgetting them changes no result
+        if len(self) > 100_000:  # names are unbounded; forgetting them changes no result
             self.clear()
             self.update(self.known)
         self[token] = kind
