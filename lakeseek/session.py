@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -17,15 +18,21 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python workers import this package, unless they can already."""
+    """Let the executors' Python workers import this package, unless they can
+    already. The archive lies in the shared folder of a cluster."""
     context, package = spark.sparkContext, Path(__file__).resolve().parent
     if context.applicationId in _shipped or str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    archive = Path(tempfile.mkdtemp(prefix="lakeseek-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for source in sorted(package.rglob("*.py")):
             z.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
+    folder = f"{shared_folder(spark).rstrip('/')}/lakeseek-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{package.name}.zip")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
     _shipped.add(context.applicationId)
 
 
