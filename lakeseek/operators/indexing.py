@@ -12,14 +12,14 @@ KEY = ["collection", "path"]
 
 
 def chunk_rows(files: DataFrame) -> DataFrame:
-    """The chunk points of files (file_id, collection, rel_path, language, content), in the stored schema."""
+    """The chunk points of files (file_id, collection, rel_path, language, content), in the stored schema, with their whole text."""
     made = chunking.chunks(files).where(F.col("error").isNull()).drop("error")
     own = files.select("file_id", "collection", F.col("rel_path").alias("path"), "language", "content_hash",
                        text.imports_of(F.col("content"), F.col("language")).alias("imports"))
     joined = made.join(own, "file_id")
     return joined.select("collection", points.point_uuid(points.chunk_key(F.col("path"), F.col("start_line"), F.col("ordinal"))).alias("point_id"),
                          F.lit("chunk").alias("point_type"), "path", "language", F.lit(None).cast("string").alias("summary"), F.lit(None).cast("int").alias("line_count"),
-                         "chunk_type", "name", "start_line", "end_line", F.substring("content", 1, values.MAX_CONTENT_CHARS).alias("content"), "imports",
+                         "chunk_type", "name", "start_line", "end_line", "content", "imports",
                          F.col("content_hash").alias("file_hash"))
 
 

@@ -1,7 +1,7 @@
 import pytest
 
 from lakeseek import api
-from lakeseek.operators import embedding
+from lakeseek.operators import embedding, retrieve
 from lakeseek.plans import planner
 
 
@@ -56,3 +56,18 @@ def test_fuzzy_words(spark):
     points = spark.createDataFrame([("c", 1, "chunk", "a", None, "account queue"), ("c", 2, "chunk", "b", None, "other words")], schema)
     assert planner.known_tokens(points, ["acount", "queue", "zzzzzz"]) == ["account", "queue"]
     assert planner.known_tokens(points, []) == []
+
+
+def test_a_long_chunk_is_indexed_to_its_end(spark, codebase, tmp_path_factory):
+    lines = "".join(f"    int field{i} = {i};\n" for i in range(2_000))
+    (codebase / "src/Big.java").write_text(f"class Big {{\n{lines}    // the zyzzyva marker\n}}\n")
+    embedder = embedding.hashed_words(16)
+    engine = api.Engine(spark, f"file://{tmp_path_factory.mktemp('engine')}", embedder, "words-16")
+    engine.index(str(codebase))
+    points = engine.store.read()
+    big = points.where("path = 'src/Big.java' and point_type = 'chunk'").collect()
+    assert len(big) == 1 and 30_000 < len(big[0].content) < 50_000 and "zyzzyva" in big[0].content
+    assert "Big.java" in engine.search('"the zyzzyva marker"', str(codebase))
+    assert retrieve.document_frequency(points).where("token = 'zyzzyva'").first().df == 1
+    vector = engine.vectors.read().where(f"vec_id = '{big[0].point_id}'").first().embedding
+    assert vector == pytest.approx(embedder([big[0].content])[0], abs=1e-6)
