@@ -57,16 +57,32 @@ _NUMBERED = re.compile(r"(?<=[A-Za-z_])(\d{2,4})(?=\()")
 _ROW = re.compile(r"^\s*(?:insert\s+into\b.*\bvalues\b|\(.*\)[,;]\s*$|-\s*\[.*\]\s*$|\[?\{.*\}[],]?\s*$|\[?\[.*\],?\s*$)", re.I)
 
 
-def head_comment(lines: list[str], most: int = 12) -> list[str]:
-    """The texts of the comment lines that open a file, before any code."""
-    out = []
-    for line in lines[: most * 3]:
-        if not line.strip():
-            continue
-        m = _COMMENT.match(line)
-        if not m or len(out) >= most:
-            break
-        out.append(m.group(1))
+#: Signs that open a comment of several lines, or a docstring, and what closes each.
+_OPENS = re.compile(r"\s*(?:(/\*|<!--|^=begin\b)|[rRuU]?(\"\"\"|'''))")
+_CLOSES = {"/*": "*/", "<!--": "-->", "=begin": "=end", '"""': '"""', "'''": "'''"}
+
+
+def head_comment(lines: list[str]) -> list[str]:
+    """The texts of the comment lines that open a file, before any code. Inner
+    lines of a block comment or a docstring need no sign of their own."""
+    out, closes = [], None
+    for line in lines:
+        at, end = 0, len(line.rstrip())
+        while at < end:
+            if closes is None:
+                m = _OPENS.match(line, at)
+                if not m:
+                    m = _COMMENT.match(line, at)
+                    if not m:
+                        return out
+                    out.append(m.group(1))
+                    break
+                closes, at = _CLOSES[m.group(1) or m.group(2)], m.end()
+            stop = line.find(closes, at)
+            out.append(line[at:stop if stop >= 0 else end].strip("*! \t"))
+            if stop < 0:
+                break
+            at, closes = stop + len(closes), None
     return out
 
 

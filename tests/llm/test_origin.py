@@ -74,3 +74,14 @@ def test_tails():
     body = "\n".join(f"line number {i}" for i in range(30))
     assert set(origin.tails(body)) & set(origin.tails("// head\n// more\n\n" + body)) and not set(origin.tails(body)) & set(origin.tails(body.replace("line", "row")))
     assert origin.tails("x") == [] and origin.tails("") == []
+
+
+def test_the_whole_opening_comment_is_read():
+    licence = "".join(f"// line {i} of a long licence\n" for i in range(60))
+    heads = [licence + "\n// Code generated by x. DO NOT EDIT.\npackage a\n", "/*\nGenerated by x\n*/\nint a;\n", "<!--\n\nGenerated by x\n-->\n<p>\n", '"""\nNames.\n\nGenerated by x\n"""\nA = 1\n',
+             "=begin\nGenerated by x\n=end\na = 1\n", "/* one */ /* Generated by x */\nint a;\n"]
+    assert [origin.evidence("a", h)[origin.GEN] for h in heads] == [8.0] * len(heads)
+    code = ["/*\nnames\n*/ int a; // Generated by x\n", '"""Names."""\nA = "Generated by x"\n', "/**/\nint a;\n/* Generated by x */\n", "// a\nint a;\n// Generated by x\n"]
+    assert [origin.evidence("a", c)[origin.GEN] for c in code] == [origin.UNMARKED[origin.GEN]] * len(code)
+    assert origin.head_comment(["/**", " * A.", " */", "", "# b", "code", "# c"]) == ["", "A.", "", "b"]
+    assert len(origin.head_comment(["/**/" * 100_000])) == 100_000
