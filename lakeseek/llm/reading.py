@@ -52,10 +52,13 @@ _CODE_LINE = re.compile(
     r"|(?:def|class|func|fn|pub|public|private|protected|static|const|let|var|function|export|async|struct|enum)\b.*[({=:]"
     r"|(?:return|elif|else|try|except|finally|end|fi|done|esac|echo|case|begin|rescue)\b[^.]*$"
     r"|(?:if|for|while|with|switch|match)\b.*[:{)]$"
+    r"|assert\b.*[\w\"')]$"
     r"|[\w.\[\]]+(?:,\s*\w+)*\s*(?:[-+*/:]?=|<<)\s*\S|[\w.:]+!?\(.*\)[;,]?$|[\"']?\w+[\"']?:\s*\S*,?$)")
 #: A line without any of these characters, and not begun by one of these words, is no code.
 _CODE_SIGNS = re.compile(r"[(){}\[\];=@#*/:]|--")
-_CODE_WORDS = frozenset("import from package use require source return elif else try except finally end fi done esac echo case begin rescue do".split())
+_CODE_WORDS = frozenset("import from package use require source return elif else try except finally end fi done esac echo case begin rescue do assert".split())
+#: Three words or more with no signs but those of a sentence: prose if it stands by prose, whatever it begins or ends with.
+_SENTENCE = re.compile(r"""(?:(?:^| +)["'“‘(]?(?:[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*%?)(?:["'”’)][.,;:!?]?|[.,;:!?]["'”’)]?)?){3,}$""")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤﻿\x00-\x08\x0b\x0c\x0e-\x1f]")
 
@@ -72,8 +75,8 @@ def _words_of(piece: str) -> list[str]:
 
 def prose_words(text: str | None) -> list[str]:
     """The words of the prose in ``text``, lower-cased and composed, in order.
-    Code (fenced, inline, or bare lines where these make up a third of all or
-    more), logs, tables, headings, markup and addresses are left out. Null and
+    Code (fenced, inline, or lines that look like it and are no sentence beside
+    prose), logs, tables, headings, markup and addresses are left out. Null and
     empty texts have none."""
     if not text:
         return []
@@ -83,7 +86,7 @@ def prose_words(text: str | None) -> list[str]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
         text = _FENCED.sub("\n", text)
-    kept, code = [], 0
+    kept, code = [], []
     for line in text.split("\n"):
         start = line.strip()
         if not start or (start[0] in _ODD_STARTS and _LINE.match(line)):
@@ -93,11 +96,12 @@ def prose_words(text: str | None) -> list[str]:
             if not start:
                 continue
         kept.append(start)
-        if start.count(" ") < 20 and (start[-1] in ";{}" or (
-                (_CODE_SIGNS.search(start) or start.partition(" ")[0] in _CODE_WORDS) and (_CODE_LINE.match(start) or start.endswith((" do", "|"))))):
-            code += 1
-    if code * 3 > len(kept):
-        return []
+        code.append(start.count(" ") < 20 and (start[-1] in ";{}" or (
+            (_CODE_SIGNS.search(start) or start.partition(" ")[0] in _CODE_WORDS) and (_CODE_LINE.match(start) or start.endswith((" do", "|"))))))
+    if any(code):
+        def by_prose(n: int) -> bool:
+            return any(not code[k] and (kept[k].count(" ") >= 20 or _SENTENCE.match(kept[k])) for k in (n - 1, n + 1) if 0 <= k < len(kept))
+        kept = [x for n, x in enumerate(kept) if not code[n] or (_SENTENCE.match(x) and by_prose(n))]
     text = "\n".join(kept)
     if "`" in text or "<" in text or "&" in text:
         text = _SPAN.sub(" ", text)

@@ -40,3 +40,13 @@ def test_odd_rows(spark):
     assert len(got) == 6 and {d for d, v in got if v is None} == {2, 3, 4}
     assert reading.reading_levels(docs.limit(0), labels).count() == 0
     assert reading.reading_levels(docs, labels.limit(0)).count() == 6
+
+
+def test_code_lines_are_left_out_one_by_one():
+    prose = "the network report moves on " * 30
+    assert len(reading.prose_words(f"{prose}\n\nx = compute(1)\ny = compute(2)\n\n{prose}")) == 300
+    assert len(reading.prose_words(f"{prose}\n" * 7 + "total = compute(first, second)\n")) == 7 * 150
+    wrapped = "the worker writes a new report and waits\nfrom the server comes an answer to it\nformally, this constitutes a report;\nand all of it is kept\n"
+    assert len(reading.prose_words(wrapped)) == 8 + 8 + 5 + 6
+    assert reading.prose_words("import a from b\nfrom lib import name\nassert x is not None, \"no x here\"\nreturn all of it\n") == []
+    assert len(reading.prose_words("import " + "a') " * 18 + "=\n" + prose)) == 150
