@@ -7,30 +7,32 @@ character or of digits only are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeseek.operators.points import once
+from lakeseek.session import cut
+
 #: The places where a string is cut into terms (Java regex).
 TERM_CUTS = r"[^\p{L}\p{Nd}]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
-def one_per_record(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """One row per key with the given texts. Copies collapse before the shuffle.
-    Rows with a null key are one record. Other columns are dropped, so names
-    that clash with the operators' own do no harm."""
-    return df.groupBy(F.col(key).alias("record")).agg(F.first(F.struct(*texts)).alias("t")).select("record", "t.*")
-
-
-def record_terms(records: DataFrame, text: Column) -> DataFrame:
+def record_terms(df: DataFrame, key: str, texts: list[str]) -> DataFrame:
     """record, term, n: how often each term occurs in each record.
 
-    ``records`` comes partitioned by record (see :func:`one_per_record`), so
-    counting needs no further shuffle.
+    Rows of one key count once, rows with a null key are one record; other
+    columns are not read, so names that clash with the operators' own do no
+    harm. Counting stays within the row: the record's terms are sorted, a term's
+    count is the distance between the places where runs of equal terms begin.
     """
-    pieces = records.select("record", F.explode(F.split(text, TERM_CUTS)).alias("piece"))
-    terms = pieces.where(F.length("piece") > 0).select("record", F.lower("piece").alias("term"))
-    kept = terms.where((F.length("term") >= 2) & ~F.col("term").rlike(r"^\p{Nd}+$"))
-    return kept.groupBy("record", "term").agg(F.count(F.lit(1)).alias("n"))
+    records = once(df.select(F.col(key).alias("record"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)]), "record", [f"t{i}" for i in range(len(texts))])
+    cut_up = F.lower(F.regexp_replace(F.concat_ws(" ", *[f"t{i}" for i in range(len(texts))]), TERM_CUTS, " "))
+    held = records.select("record", F.array_sort(F.split(cut_up, " ")).alias("terms"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("terms")))
+    counts = F.zip_with("begins", ends, lambda a, b: F.struct(F.get("terms", a).alias("term"), (b - a).cast("long").alias("n")))
+    each = held.withColumn("begins", begins).select("record", F.inline(counts))
+    return each.where((F.length("term") >= 2) & ~F.col("term").rlike(r"^\p{Nd}+$"))
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, min_records: int = 3, max_share: float = 0.22) -> DataFrame:
@@ -43,8 +45,7 @@ def term_frequencies(df: DataFrame, key: str, text: str, min_records: int = 3, m
     everywhere arrives as one row a task. Null and empty texts have no terms; an
     empty table gives an empty result.
     """
-    records = one_per_record(df, key, [F.col(text).alias("text")])
-    counts = record_terms(records, F.col("text")).groupBy("term").agg(
+    counts = record_terms(df, key, [text]).groupBy("term").agg(
         F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
     total = df.select(F.col(key).alias("record")).distinct().agg(F.count(F.lit(1))).scalar()
     mark = (F.when(F.col("records") < min_records, "rare")
@@ -60,13 +61,13 @@ def distinctive_terms(df: DataFrame, key: str, texts: list[str], min_count: int
     With N records, df of which hold the term cf times in all, the observed
     -log2(df/N) is compared with what a Poisson scatter of the cf occurrences
     would give, -log2(1 - exp(-cf/N)); the difference is large for terms
-    concentrated in few records and near zero for words spread evenly. Only
+    concentrated in few records and near zero for words spread evenly. The
+    counts are written once, for the statistics and the scores. Only
     terms with at least ``min_count`` in the record and within the bounds on
     records are returned; statistics are over all records. Null texts have no
     terms.
     """
-    records = one_per_record(df, key, [F.col(t).alias(f"t{i}") for i, t in enumerate(texts)])
-    counts = record_terms(records, F.concat_ws(" ", *[f"t{i}" for i in range(len(texts))]))
+    counts = cut(record_terms(df, key, texts))
     spread = counts.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
     bounds = F.col("records") >= min_records
     if max_records is not None:
