@@ -1,7 +1,7 @@
 """Generated, minified, vendored and blob files, told apart from hand-written ones.
 
 Every file has log evidence for five labels from its path, its head comment, the
-shape of its text and whether the lower part of its text also stands elsewhere.
+shape of its text and how much of its text also stands in other files.
 Belief propagation over the directory trees adds what parents and siblings say:
 a folder has a label of its own, files tend to have their folder's label and
 folders their parent's. On a tree the two passes (up, then down) are exact.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeseek.session import cut
+from lakeseek.session import cut, release
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 HAND, GEN, MIN, VEND, BLOB = range(5)
@@ -38,12 +38,20 @@ _NAMES = [(GEN, 7.0, re.compile(r"(?:_pb2(?:_grpc)?|\.pb|\.generated|\.gen|\.g|\
           (VEND, 3.0, re.compile(r"(?:^|/)(?:jquery|bootstrap|lodash|underscore|modernizr|angular|react|vue|d3)[.-][^/]*\.(?:js|css)$", re.I))]
 
 _COMMENT = re.compile(r"\s*(?://+!?|#+!?(?!include|define|if|pragma|\[)|/\*+!?|\*+/?|--|<!--|;+|%|\"\"\"|''')\s?(.*?)\s*(?:\*+/|-->)?\s*$")
+#: What tools say of files they make, in the languages that comments are commonly written in.
 _MADE = re.compile(
-    r"(?:^|\W)@generated\b|\bauto[- ]?generated\b(?!\?)|\b(?:code|file|source|class|module|document|content|bindings?|stubs?)\s+(?:(?:was|is|has been|were)\s+)?(?:automatically\s+|machine\s+|auto-?)?(?:generated|created|produced|written|emitted)\s+(?:automatically\s+)?(?:by|from|with|using|automatically)\b"
-    r"|\bgenerated\s+(?:automatically\s+)?(?:by|from|with|using|on|at)\b|\b(?:automatically|machine)[- ](?:generated|created|written|produced)\b"
-    r"|\b(?:created|produced|written|emitted)\s+automatically\b"
-    r"|\bdo(?:es)?\s+not\s+(?:edit|modify|change|alter)\s*(?:[.!:;]|$|by hand|manually|this file|directly)|\b(?:edits|changes|modifications)\b.{0,30}\b(?:overwritten|lost|discarded)\b|\bany changes\b.{0,30}\blost\b"
-    r"|\bautomatisch\s+(?:erzeugt|generiert|erstellt)\b|\bnicht\s+(?:bearbeiten|ändern|editieren)\b|\bne\s+pas\s+(?:modifier|éditer)\b|\b(?:fichier|code)\s+(?:produit|généré)\b|\bno\s+(?:editar|modificar)\b|\bgenerado\s+(?:por|automáticamente)\b|\bgénéré\s+(?:par|automatiquement)\b", re.I)
+    r"(?:^|\W)@(?:auto-?)?generated\b|<auto-?generated\b|\bauto[- ]?generated\b(?!\?)|\bauto[- ]?gen\b"
+    r"|\b(?:code|file|source|class|module|document|content|bindings?|stubs?|output|header|parser|lexer|client|types?)\s+(?:(?:was|is|has been|were|are)\s+)?(?:automatically\s+|machine[- ]|auto-?)?"
+    r"(?:re)?(?:generated|created|produced|written|emitted|compiled|transpiled|rendered|derived|built)\s+(?:automatically\s+)?(?:by|from|with|using|via|automatically)\b"
+    r"|\b(?:re)?generated\s+(?:automatically\s+)?(?:by|from|with|using|on|at|via)\b|\b(?:automatically|machine|mechanically)[- ](?:generated|created|written|produced|made|derived|emitted)\b"
+    r"|\b(?:created|produced|written|emitted|derived)\s+automatically\b|\boutput\s+of\b.{0,60}\b(?:compiler|generator|tool|script|build|preprocessor|transpiler)\b"
+    r"|\b(?:run|use|call|invoke)\b.{0,60}\bto\s+(?:re-?generate|rebuild|refresh)\b|\bto\s+re-?generate\b.{0,40}\b(?:run|use|call|invoke)\b"
+    r"|\b(?:do(?:es)?\s+not|don'?t|never|please\s+do\s+not)\s+(?:hand[- ]?)?(?:edit|modify|change|alter|touch)\s*(?:[.!:;,]|$|by hand|manually|this file|directly|it\b)"
+    r"|\b(?:must|should)\s+not\s+be\s+(?:hand[- ]?)?(?:edited|modified|changed|altered)\b|\b(?:manual|hand|local)\s+(?:edits|changes|modifications)\b.{0,40}\b(?:overwritten|lost|discarded|replaced|vanish|undone)\b"
+    r"|\b(?:edits|changes|modifications)\b.{0,30}\b(?:overwritten|lost|discarded)\b|\bany changes\b.{0,30}\blost\b"
+    r"|\b(?:automatisch|maschinell)\s+(?:erzeugt|generiert|erstellt)\b|\bnicht\s+(?:von\s+hand\s+)?(?:bearbeiten|ändern|editieren)\b|\b(?:erzeugt|generiert)\s+(?:aus|von|durch|mit)\b"
+    r"|\bne\s+pas\s+(?:modifier|éditer|toucher)\b|\b(?:fichier|code)\s+(?:produit|généré)\b|\bgénéré\s+(?:par|automatiquement|à\s+partir)\b"
+    r"|\bno\s+(?:editar|modificar|tocar)\b|\bgenerado\s+(?:por|automáticamente|a\s+partir)\b|\bcreado\s+automáticamente\b", re.I)
 _NOT_MADE = re.compile(r"\b(?:not|never|isn't|aren't|no longer)\s+(?:auto\w*\s+)?(?:generated|produced|created)|\bedit\s+(?:it\s+)?freely|\bwhile\b|\breads?\s+this\b|\bwhen\s+(?:a|the)\b|\buntil\b|\bbefore\b", re.I)
 _OTHERS = re.compile(
     r"\bcopyright\b.{0,80}|\ball rights reserved\b|\breleased\s+(?:by|under)\b|\bredistribution\b.{0,40}\bpermitted\b|\b(?:bundled|imported|copied|taken|adapted|vendored|forked|backported)\s+from\b|\bupstream\b|\blicen[cs]ed?\s+under\b|\bspdx-license-identifier\b|\bpermission is hereby granted\b", re.I)
@@ -51,6 +59,11 @@ _STRONG_OTHERS = re.compile(r"\bupstream\b|\b(?:contributors|developers|authors)
 _BUNDLE = re.compile(r"/\*\*\*/|__webpack_require__|\(this\);|sourceMappingURL=|^/\*!\s", re.M)
 _MAP = re.compile(r"//[#@]\s*sourceMappingURL=")
 _BINARY = re.compile("[\x00-\x08\x0e-\x1f\ufffd]")
+#: What a tool leaves in a file's place: a pointer to large-file storage, or a page that a server sent.
+_POINTER = re.compile(r"version https?://\S+/spec/v\d+\n(?:ext-.*\n)*oid sha\d+:[0-9a-f]+\n")
+_PAGE = re.compile(r"\s*(?:<!doctype\s+html|<html)\b", re.I)
+#: Extensions of files that may hold a page.
+_PAGES = frozenset("html htm xhtml shtml vue svelte php erb ejs hbs jinja j2 tmpl tpl jsp asp aspx cshtml mustache md markdown xml".split())
 _BASE64 = re.compile(r"[A-Za-z0-9+/=]{50,}")
 _LITERALS = re.compile(r"0[xX][0-9a-fA-F]+|[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?")
 _NUMBERED = re.compile(r"(?<=[A-Za-z_])(\d{2,4})(?=\()")
@@ -100,8 +113,12 @@ def evidence(path: str, text: str) -> list[float]:
         e[VEND] += 3.0
     text = text.lstrip("﻿")
     if len(_BINARY.findall(text)) > 0.02 * len(text):
-        return e if any(e) else list(UNMARKED)
+        e[BLOB] += 8.0
+        return e
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    if _POINTER.match(text.replace("\r\n", "\n")) or _PAGE.match(text) and path.rpartition(".")[2].lower() not in _PAGES:
+        e[GEN] += 8.0
+        return e
     head = head_comment(lines)
     if any(_MADE.search(x) and not _NOT_MADE.search(x) for x in head):
         e[GEN] += 8.0
@@ -112,17 +129,17 @@ def evidence(path: str, text: str) -> list[float]:
         e[VEND] += 2.0
     full = [x for x in lines if x.strip()]
     size = sum(map(len, full)) or 1
-    # Literals: the share of the text that is numbers, or base64.
+    # Literals: the share of the text that is numbers, or base64, or rows of them. The more there is, the more it says.
     encoded = sum(len(x) for x in _BASE64.findall(text) if not x.isalpha() or len(x) > 120)
-    digits = size - len(text.translate(_NO_DIGITS)) + len(lines) - 1 if size > 300 else 0
+    digits = size - len(text.translate(_NO_DIGITS)) + len(lines) - 1
     numbers = sum(map(len, _LITERALS.findall(text))) if digits > 0.08 * size else 0
-    rows = sum(1 for x in full if _ROW.match(x)) if len(full) > 10 else 0
-    if encoded > 0.5 * size and size > 300:
-        e[BLOB] += 8.0
-    elif size > 400 and numbers > 0.3 * size:
-        e[BLOB] += 8.0
-    elif rows >= 12 and rows > 0.7 * len(full) and digits > 0.08 * size:
-        e[BLOB] += 8.0
+    rows = sum(1 for x in full if _ROW.match(x)) if digits > 0.08 * size else 0
+    if encoded > 0.5 * size:
+        e[BLOB] += 8.0 * min(1.0, size / 300)
+    elif numbers > 0.3 * size:
+        e[BLOB] += 8.0 * min(1.0, size / 400)
+    elif rows > 0.7 * len(full):
+        e[BLOB] += 8.0 * min(1.0, rows / 12)
     else:
         # Minified: long dense lines; a hand keeps to some width and leaves white space.
         longest = max(map(len, full), default=0)
@@ -145,56 +162,66 @@ def evidence(path: str, text: str) -> list[float]:
 _NO_DIGITS = {c: None for c in map(ord, "0123456789")}
 
 
-def tails(text: str) -> list[int]:
-    """Hashes of the lower part of a text, without white space at line ends and
-    blank lines, at two lengths that are powers of two: texts that differ only in
-    some lines at the head have one in common. Short texts have none."""
+#: Lines of a window, windows of which the smallest hash is kept, and the least text of a window and of a file that can be called a copy.
+WINDOW, KEPT, WINDOW_CHARS, COPY_LINES, COPY_CHARS = 4, 4, 30, 5, 120
+#: Prints that two texts have to share at least, unless one has fewer; a chance line in common is no copy.
+LEAST_SHARED = 3
+
+
+def prints(text: str) -> list[int]:
+    """Hashes of windows of lines, without white space at line ends and blank
+    lines; of any ``KEPT`` windows in a row the smallest is among them, so two
+    texts that share ``WINDOW + KEPT - 1`` lines anywhere have one in common,
+    whatever was changed above, below or between. A short text has one print, of
+    the whole."""
     import xxhash
 
-    lines = [x.strip() for x in text.lstrip("﻿").splitlines()]
-    lines = [x for x in lines if x]
-    n = len(lines)
-    if n < 8 and sum(map(len, lines)) < 600:
+    lines = [x for x in map(str.strip, text.lstrip("﻿").splitlines()) if x]
+    if len(lines) < COPY_LINES or sum(map(len, lines)) < COPY_CHARS:
         return []
-    most = 1 << max(2, int(0.9 * n).bit_length() - 1)
-    out = []
-    for length in (most, most // 2):
-        part = "\n".join(lines[-length:])
-        if length >= 4 and len(part) >= 60:
-            out.append(xxhash.xxh64_intdigest(f"{length}\n{part}") - (1 << 63))
-    return out
+    hashes = []
+    for i in range(len(lines) - WINDOW + 1):
+        part = "\n".join(lines[i:i + WINDOW])
+        hashes.append(xxhash.xxh64_intdigest(part) - (1 << 63) if len(part) >= WINDOW_CHARS else 1 << 63)
+    kept = {min(hashes[i:i + KEPT]) for i in range(max(1, len(hashes) - KEPT + 1))} - {1 << 63}
+    if len(kept) < LEAST_SHARED:
+        return [xxhash.xxh64_intdigest("\n".join(lines)) - (1 << 63)]
+    return sorted(kept)
 
 
 _FIELDS = [("file", pa.int64()), ("collection", pa.string()), ("folder", pa.string()), *((f"e{i}", pa.float64()) for i in range(5)),
-           ("tails", pa.list_(pa.int64()))]
+           ("prints", pa.list_(pa.int64()))]
 _E = [f"e{i}" for i in range(5)]
 
 
 def features(files: DataFrame) -> DataFrame:
-    """file, collection, folder, evidence and tails, one row per file_id."""
+    """file, collection, folder, evidence and prints, one row per file_id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in _FIELDS]
             for file, collection, path, text in zip(*[c.to_pylist() for c in batch.columns]):
                 path = path or ""
-                values = (file, collection, path.rpartition("/")[0], *evidence(path, text), tails(text))
+                values = (file, collection, path.rpartition("/")[0], *evidence(path, text), prints(text))
                 for column, v in zip(out, values):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, _FIELDS)], [n for n, _ in _FIELDS])
     rows = files.where(F.col("content").isNotNull() & (F.col("content") != "")).select(
         F.col("file_id").cast("long"), F.coalesce("collection", F.lit("")).alias("collection"), "rel_path", "content")
     made = rows.mapInArrow(run, "file long, collection string, folder string, "
-                                + ", ".join(f"{e} double" for e in _E) + ", tails array<long>")
-    return made.groupBy("file").agg(F.first(F.struct("collection", "folder", *_E, "tails")).alias("f")).select("file", "f.*")
-
-
-def with_copies(files: DataFrame, weight: float = 8.0) -> DataFrame:
-    """Add to a file's vendored evidence if its lower part stands in another file too."""
-    each = files.select("file", F.explode("tails").alias("tail"))
-    held = each.groupBy("tail").agg(F.count(F.lit(1)).alias("files")).where(F.col("files") > 1)
-    copied = each.join(held, "tail").groupBy("file").agg(F.lit(True).alias("copied"))
+                                + ", ".join(f"{e} double" for e in _E) + ", prints array<long>")
+    return made.groupBy("file").agg(F.first(F.struct("collection", "folder", *_E, "prints")).alias("f")).select("file", "f.*")
+
+
+def with_copies(files: DataFrame, weight: float = 8.0, share: float = 0.5) -> DataFrame:
+    """Add to a file's vendored evidence if at least ``share`` of its prints are
+    those of other files too. An original that lies among the files cannot be
+    told from its copies by this and counts as one of them."""
+    each = files.select("file", F.size("prints").alias("held"), F.explode("prints").alias("print"))
+    others = each.groupBy("print").agg(F.count(F.lit(1)).alias("files")).where(F.col("files") > 1).select("print")
+    copied = each.join(others, "print").groupBy("file").agg(
+        (F.count(F.lit(1)) >= F.greatest(share * F.max("held"), F.least(F.lit(LEAST_SHARED), F.max("held")))).alias("copied")).where("copied")
     more = F.when(F.col("copied") & (F.col(f"e{MIN}") < 4) & (F.col(f"e{BLOB}") < 4) & (F.col(f"e{GEN}") < 4), weight).otherwise(0.0)
-    return files.join(copied, "file", "left").withColumn(f"e{VEND}", F.col(f"e{VEND}") + more).drop("copied", "tails")
+    return files.join(copied, "file", "left").withColumn(f"e{VEND}", F.col(f"e{VEND}") + more).drop("copied", "prints")
 
 
 # ---- belief propagation -----------------------------------------------------
@@ -280,8 +307,11 @@ def origins(files: DataFrame) -> DataFrame:
     Files count once by file_id; null and empty contents have no row; a null
     path stands at the root. Ties go to the earlier label, hand-written first.
     """
-    seen = cut(with_copies(features(files)))
+    made = cut(features(files))
+    seen = cut(with_copies(made))
+    release(made)
     scores = cut(propagate(seen))
+    release(seen)
     cols = [F.col(f"s{i}") for i in range(5)]
     weighed = _weighed(scores, cols)
     label = F.coalesce(*[F.when(F.col(f"p{i}") == 1.0, name) for i, name in enumerate(LABELS)])

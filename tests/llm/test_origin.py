@@ -70,10 +70,33 @@ def test_empty(spark):
     assert labels(spark, [(1, "c", "a.py", None)]) == {}
 
 
-def test_tails():
-    body = "\n".join(f"line number {i}" for i in range(30))
-    assert set(origin.tails(body)) & set(origin.tails("// head\n// more\n\n" + body)) and not set(origin.tails(body)) & set(origin.tails(body.replace("line", "row")))
-    assert origin.tails("x") == [] and origin.tails("") == []
+def test_prints():
+    body = "\n".join(f"line number {i} of a text" for i in range(30))
+    own = set(origin.prints(body))
+    foot, middle = body + "\nand more\n", body.replace("number 15 ", "count 15 ")
+    assert own & set(origin.prints("// head\n// more\n\n" + body)) and len(own & set(origin.prints(foot))) >= 0.5 * len(own) and len(own & set(origin.prints(middle))) >= 0.5 * len(own)
+    assert not own & set(origin.prints(body.replace("line", "row")))
+    assert origin.prints("x") == [] and origin.prints("") == [] and len(origin.prints("a line of some length\n" * 7)) == 1
+
+
+def test_copies_with_edits_anywhere_and_short_ones(spark):
+    lib, short = hand("lib"), "int a(int b) {\n    int c = b * 2;\n    c += b / 3;\n    c -= 4;\n    log_value(c, b);\n    check_value(c);\n    return c;\n}\n".replace("log", "trace") * 1
+    rows = [(i, "c", f"src/m{i}.py", hand(f"w{i}")) for i in range(10)]
+    rows += [(20, "c", "own/lib.py", lib), (21, "d", "own/lib.py", lib + "\ndef more_to_say():\n    return 1\n"), (22, "c", "own/s.c", short + "/* some more words, so that the file is no toy at all */\n"), (23, "d", "own/s.c", short + "/* some more words, so that the file is no toy at all */\n")]
+    got = labels(spark, rows)
+    assert all(got[i] == "vendored" for i in (20, 21, 22, 23)) and all(got[i] == "handwritten" for i in range(10))
+
+
+def test_what_tools_leave_in_a_files_place():
+    e = lambda p, t: max(range(5), key=lambda k: origin.evidence(p, t)[k])
+    assert e("a.py", "version https://git-lfs.github.com/spec/v1\noid sha256:00ff\nsize 3\n") == origin.GEN
+    assert e("a.go", "<!DOCTYPE html>\n<html><body>502</body></html>\n") == origin.GEN and e("a.html", "<!DOCTYPE html>\n<html></html>\n") == origin.HAND
+    assert e("a.js", "PK\x03\x04" + "\x00\x11ab" * 40) == origin.BLOB
+
+
+@pytest.mark.parametrize("mark", ["Output of the schema compiler.", "Run make to regenerate this file", "Don't edit by hand.", "This header was emitted by idlc", "Manual edits will be overwritten", "maschinell erzeugt", "<auto-generated/>", "must not be edited"])
+def test_marks_of_tools(mark):
+    assert origin.evidence("a.c", f"/* {mark} */\nint a;\n")[origin.GEN] == 8.0
 
 
 def test_the_whole_opening_comment_is_read():
