@@ -9,11 +9,17 @@ content has to derive ``X``. ``Name |= alternatives`` extends a rule.
 A file is a string with one character a token. Bracketed parts are replaced
 from the inside out by one character each, which stands for the set of rules
 that the part derives: whatever a grammar asks of a part, parts with the same
-set are alike. So texts that differ only in names, values or the insides of
-brackets become equal, and each of them is parsed once a worker. A rule
-declared by ``%seq`` is a sequence: its text may be cut after given
-tokens, and if every piece derives the rule, so does the whole; if not, the
-whole is parsed as one.
+set are alike. All rules that may be asked, and all dialects of a language, are
+roots of one run over one graph-structured stack, so what they have in common
+is recognised once. Texts that differ only in names, values or the insides of
+brackets become equal, and each of them is parsed once a worker.
+
+Two forms of rule need no parse of the whole, as each follows from the rule
+itself: a rule declared by ``%seq`` is a repetition, so a text may be cut after
+given tokens, and if every piece derives the rule, so does the whole; a rule
+one of whose alternatives is a list, as ``X (',' X)* ','?``, derives every text
+whose parts between the separators derive ``X``. If a piece fails, the whole is
+parsed as one.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ ERROR, NEWLINE = "\x00", "\n"
 BASES = {"P": 0x30000, "S": 0x40000, "B": 0x50000, "K": 0x60000}
 _GROUPS = {base >> 16: kind + "[" for kind, base in BASES.items()}
 _INNER = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
+#: The alternatives that are lists: element, separator, and whether one may stand at the end.
+_LIST = re.compile(r"\(?(\w+) \('([^']+)' \1\)\*( '\2'\?)?(?:\)\??)?$")
 _RULE_TOKEN = re.compile(r"\s*(?:'([^']+)'|([PSBK])\[(\w+)\]|(\w+)|([|()?*+]))")
 
 
@@ -58,6 +66,7 @@ class Grammar:
         self.rules: dict[str, Rule] = {}
         self.tokens: dict[str, str] = {}
         self.sequences: dict[str, str] = {}
+        self.lists: dict[str, list[tuple[str, str, bool]]] = {}
         lines = [line for line in text.strip().split("\n") if line.strip()]
         merged: list[str] = []
         for line in lines:
@@ -79,7 +88,9 @@ class Grammar:
             name, extends, body = re.match(r"(\w+)\s*(\|?)[:=]\s*(.*)$", line).groups()
             rule = self._rule(name)
             if not extends:
-                rule.bodies = []
+                rule.bodies, self.lists[name] = [], []
+            for m in filter(None, map(_LIST.match, _alternatives(body))):
+                self.lists.setdefault(name, []).append((m.group(1), self.tokens[m.group(2)], bool(m.group(3))))
             self._tokens, self._at = _RULE_TOKEN.findall(body + " "), 0
             rule.bodies += self._alternatives()
         self._finish()
@@ -141,6 +152,7 @@ class Grammar:
                     named = item[1] if item[0] == "rule" else item[2] if item[0] == "group" else None
                     if named and named not in self.rules:
                         raise ValueError(f"no rule {named}, used in {rule.name}")
+        self.lists = {name: kept for name, own in self.lists.items() if (kept := [x for x in own if x[0] in self.rules])}
         for n, rule in enumerate(self.rules.values()):
             rule.number = n
             rule.slots = []
@@ -173,8 +185,6 @@ class Grammar:
             for item in (i for body in rule.bodies for i in body if i[0] == "group"):
                 if self.rules[item[2]] not in self.asked[item[1]]:
                     self.asked[item[1]].append(self.rules[item[2]])
-        # Long runs of equal list elements or lines: lists are stars here, so a few stand for all.
-        self.runs = re.compile("(.{1,3}[%s\n])\\1{6,}" % re.escape(self.tokens.get(",", "")))
 
     @staticmethod
     def _first(slot: Slot) -> tuple[set, bool]:
@@ -210,8 +220,7 @@ class Grammar:
         key = (kind, content)
         char = self.part.get(key)
         if char is None:
-            short = self.runs.sub(r"\1\1\1", content)
-            rules = frozenset(rule.number for rule in self.asked[kind] if self.derives(rule, short))
+            rules = frozenset(rule.number for rule in self.deriving(self.asked[kind], content))
             if not rules:
                 raise Rejected
             char = self.alike.get((kind, rules))
@@ -236,19 +245,42 @@ class Grammar:
 
     # -- recognising
 
+    def deriving(self, rules: list[Rule], text: str) -> list[Rule]:
+        """The rules from which the whole text derives; what is not known yet is found in one run."""
+        open_, found = [], []
+        for rule in rules:
+            known = self.known.get((rule.number, text))
+            if known is None and self._by_parts(rule, text):
+                known = self.known[rule.number, text] = True
+            if known is None:
+                open_.append(rule)
+            elif known:
+                found.append(rule)
+        if open_:
+            derive = self._parse(open_, text)
+            for rule in open_:
+                self.known[rule.number, text] = rule.number in derive
+            found += [rule for rule in open_ if rule.number in derive]
+        return found
+
     def derives(self, rule: Rule, text: str) -> bool:
-        """Whether the whole text derives from the rule."""
-        key = (rule.number, text)
-        known = self.known.get(key)
-        if known is None:
-            cuts = self.sequences.get(rule.name)
-            pieces = self._pieces(text, cuts) if cuts else ()
-            if len(pieces) > 1:
-                known = all(self.derives(rule, p) for p in pieces) or self._parse(rule, text)
-            else:
-                known = self._parse(rule, text)
-            self.known[key] = known
-        return known
+        return bool(self.deriving([rule], text))
+
+    def _by_parts(self, rule: Rule, text: str) -> bool:
+        """Whether the parts of a repetition or list show that the whole derives."""
+        cuts = self.sequences.get(rule.name)
+        if cuts:
+            pieces = self._pieces(text, cuts)
+            if len(pieces) > 1 and all(self.derives(rule, p) for p in dict.fromkeys(pieces)):
+                return True
+        for element, separator, ends in self.lists.get(rule.name, ()):
+            if separator in text:
+                pieces = text.split(separator)
+                if ends and not pieces[-1]:
+                    pieces.pop()
+                if all(self.derives(self.rules[element], p) for p in dict.fromkeys(pieces)):
+                    return True
+        return False
 
     @staticmethod
     def _pieces(text: str, cuts: str) -> list[str]:
@@ -262,13 +294,27 @@ class Grammar:
             pieces.append(text[start:])
         return pieces
 
-    def accepts(self, start: str, text: str) -> bool:
-        return self.derives(self.rules[start], self.runs.sub(r"\1\1\1", text))
-
-    def _parse(self, rule: Rule, text: str) -> bool:
-        """GLL: descriptors (slot, stack node, position) are worked off in any
-        order; a stack node is a rule called at a position, its edges are where
-        calls return to, and ends found before are replayed to later callers."""
+    def accepts(self, starts: str | list[str], text: str) -> bool:
+        """Whether the text derives from one of the start rules, all tried together.
+        Where they are repetitions with the same cuts, the dialects that every
+        piece derives from decide."""
+        rules = [self.rules[s] for s in ([starts] if isinstance(starts, str) else starts)]
+        cuts = {self.sequences.get(rule.name) for rule in rules}
+        if len(cuts) == 1 and None not in cuts:
+            left = rules
+            for piece in dict.fromkeys(self._pieces(text, cuts.pop())):
+                left = self.deriving(left, piece)
+                if not left:
+                    break
+            if left:
+                return True
+        return bool(self.deriving(rules, text))
+
+    def _parse(self, rules: list[Rule], text: str) -> set[int]:
+        """GLL: the numbers of the rules that derive the whole text. Descriptors
+        (slot, stack node, position) are worked off in any order; a stack node is
+        a rule called at a position, its edges are where calls return to, and
+        ends found before are replayed to later callers."""
         size = len(text)
         kinds = [_GROUPS[ord(c) >> 16] if c >= "\U00030000" else c for c in text]
         derived = self.derived
@@ -287,8 +333,9 @@ class Grammar:
                         work.append((slot, node, at))
             return node
 
-        root = call(rule, 0)
-        while work:
+        roots = {call(rule, 0) for rule in rules if rule.nullable or size and kinds[0] in rule.first}
+        missing = set(roots)
+        while work and missing:
             slot, node, at = work.pop()
             while True:
                 kind = slot.kind
@@ -324,8 +371,8 @@ class Grammar:
                         continue
                     break
                 if at not in ends[node]:
-                    if node == root and at == size:
-                        return True
+                    if at == size:
+                        missing.discard(node)
                     ends[node].add(at)
                     for following, parent in edges[node]:
                         item = (following, parent, at)
@@ -333,4 +380,18 @@ class Grammar:
                             seen.add(item)
                             work.append(item)
                 break
-        return False
+        return {number for number, _ in roots - missing}
+
+
+def _alternatives(body: str) -> list[str]:
+    """The alternatives of a rule as text: cut at bars outside of parentheses and quotes."""
+    out, depth, quoted, start = [], 0, False, 0
+    for i, c in enumerate(body):
+        if c == "'":
+            quoted = not quoted
+        elif not quoted:
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                out.append(body[start:i].strip())
+                start = i + 1
+    return [*out, body[start:].strip()]

@@ -342,6 +342,7 @@ RUST_SOFT = "union auto default box raw"
 C = r"""
 %seq Unit ';' B
 %seq Stmts ';'
+%seq Any ';' ','
 Unit: (Ext | ';' | PRE)*
 Ext: Specs Declarators? ';' | Specs? Declarator KR* B[Stmts] | 'extern' STR (B[Unit] | Ext) | '_Static_assert' P[Args] ';' | ('asm' | '__asm__') P[Any] ';' | ID P[Args]
 KR: Specs Declarators ';'
@@ -369,7 +370,7 @@ Param: Specs (Declarator | Abstract?)
 Abstract: Ptr+ ADirect? | ADirect
 ADirect: (P[Abstract] | S[ArrSize] | P[Params])+
 Init: Assign | B[Inits]
-Inits: (IItem (',' IItem)* ','?)? PRE*
+Inits: (IItem (',' IItem)* ','?)? | (IItem (',' IItem)* ','?)? PRE+
 IItem: PRE* (Desig+ '=')? Init
 Desig: '.' ID | S[Cond] | S[CondRange]
 CondRange: Cond '...' Cond

@@ -34,7 +34,7 @@ def parses(text: str, lang: str) -> bool:
         g.reset()
     try:
         folded = lexer(lang)(text)
-        return folded is not None and any(g.accepts(start, folded) for start in DIALECTS[lang])
+        return folded is not None and g.accepts(DIALECTS[lang], folded)
     except Rejected:
         return False
 
