@@ -10,18 +10,22 @@ _CLASSES = {"ID": "I", "NUM": "N", "STR": "S", "TPL": "T", "REX": "R", "CHR": "C
 
 JS = r"""
 %seq Module ';' NL
+%seq Script ';' NL
 %seq Stmts ';' NL
 %seq Members ';' NL B
-Module: Stmts
+Module: ModItem*
+Script: Stmt*
+Template: Expr
 Stmts: Stmt*
 Semi: ';' | NL | END
 Stmt: ';' | NL | B[Stmts] | VarKind Vars Semi | Function | Class | ID ':' NL? Stmt
   | 'if' P[Expr] NL? Stmt Else? | 'for' 'await'? P[ForHead] NL? Stmt | 'while' P[Expr] NL? Stmt | 'do' NL? Stmt NL? 'while' P[Expr]
   | 'return' Expr? Semi | 'break' ID? Semi | 'continue' ID? Semi | 'throw' Expr Semi | 'debugger' Semi
   | 'try' B[Stmts] Catch? Finally? | 'switch' P[Expr] B[Cases] | 'with' P[Expr] Stmt | Expr Semi
-  | 'import' STR ImportWith? Semi | 'import' 'type'? ImportClause 'from' STR ImportWith? Semi
+  | Decorators Class
+ModItem: Stmt | 'import' STR ImportWith? Semi | 'import' ImportClause 'from' STR ImportWith? Semi
   | 'export' 'default' (Function | Class | Assign Semi) | 'export' (VarKind Vars Semi | Function | Class)
-  | 'export' 'type'? B[Specs] ('from' STR ImportWith?)? Semi | 'export' 'type'? '*' ('as' NAME)? 'from' STR ImportWith? Semi | Decorators 'export'? 'default'? Class
+  | 'export' B[Specs] ('from' STR ImportWith?)? Semi | 'export' '*' ('as' (NAME | STR))? 'from' STR ImportWith? Semi | Decorators 'export' 'default'? Class
 Else: NL? 'else' NL? Stmt
 Catch: NL? 'catch' P[CatchParam]? B[Stmts]
 CatchParam: Binding
@@ -31,7 +35,7 @@ Case: ('case' Expr | 'default') ':' Stmts
 ImportWith: ('with' | 'assert') B[Props]
 ImportClause: ID (',' (B[Specs] | '*' 'as' ID))? | B[Specs] | '*' 'as' ID
 Specs: (Spec (',' Spec)* ','?)?
-Spec: 'type'? (NAME | STR) ('as' (NAME | STR))?
+Spec: (NAME | STR) ('as' (NAME | STR))?
 VarKind: 'var' | 'let' | 'const' | 'using'
 Vars: Var (',' Var)*
 Var: Binding ('=' Assign)?
@@ -74,9 +78,10 @@ Prop: '...' Assign | PropName ':' Assign | ID ('=' Assign)? | Mod* '*'? PropName
 JS_SOFT = "of async get set static from as type accessor using assert let yield await"
 
 TS = JS + r"""
-Module |= Stmts
-Stmt |= 'export'? 'declare'? 'type' ID TParams? '=' NL? Type Semi | 'export'? 'default'? 'declare'? 'interface' ID TParams? ('extends' TypeList)? B[TMembers]
-  | 'export'? 'declare'? 'const'? 'enum' ID B[Enums] | 'export'? 'declare'? ('namespace' | 'module') (ID ('.' ID)* | STR) B[Stmts]? Semi?
+ModItem |= 'import' 'type' ImportClause 'from' STR ImportWith? Semi | 'export' 'type' B[Specs] ('from' STR ImportWith?)? Semi | 'export' 'type' '*' ('as' NAME)? 'from' STR ImportWith? Semi
+Spec |= 'type' (NAME | STR) ('as' (NAME | STR))?
+Stmt |= 'export' (VarKind Vars Semi | Function | Class) | 'export'? 'declare'? 'type' ID TParams? '=' NL? Type Semi | 'export'? 'default'? 'declare'? 'interface' ID TParams? ('extends' TypeList)? B[TMembers]
+  | 'export'? 'declare'? 'const'? 'enum' ID B[Enums] | 'export'? 'declare'? ('namespace' | 'module') (ID ('.' ID)* | STR) B[Module]? Semi?
   | 'export'? 'declare' (VarKind Vars Semi | Function | Class | 'global' B[Stmts]) | 'export'? 'default'? 'declare'? 'abstract' Class | Decorators 'export'? 'default'? 'abstract' Class
   | 'import' 'type'? ID '=' ('require' P[Args] | ID ('.' ID)*) Semi | 'export' '=' Expr Semi | 'export' 'as' 'namespace' ID Semi
   | 'export'? 'default'? 'declare'? 'async'? 'function' '*'? ID TParams? P[Params] Ret? Semi
@@ -403,22 +408,33 @@ Suite: K[Block] | Simples NL
 Block: Lines
 %seq Block NL
 Simples: Simple (';' Simple)* ';'?
-Simple: 'pass' | 'break' | 'continue' | 'return' Exprs? | 'raise' (Expr ('from' Expr)?)? | 'global' Ids | 'nonlocal' Ids | 'del' Exprs | 'assert' Expr (',' Expr)?
-  | 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | Froms | P[FromsP]) | 'type' ID TParams? '=' Expr
-  | Exprs | Exprs ('=' (Yield | Exprs))+ | Postfix AugOp (Yield | Exprs) | Postfix ':' Expr ('=' (Yield | Exprs))? | Yield
+Simple: 'pass' | 'break' | 'continue' | 'return' Exprs? | 'raise' (Expr ('from' Expr)?)? | 'global' Ids | 'nonlocal' Ids | 'del' Dels | 'assert' Expr (',' Expr)?
+  | 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)* | 'from' (('.' | '...')* Dotted | ('.' | '...')+) 'import' ('*' | Froms | P[FromsP]) | 'type' ID TParams? '=' Expr
+  | Exprs | (Targets '=')+ (Yield | Exprs) | One AugOp (Yield | Exprs) | One ':' Expr ('=' (Yield | Exprs))? | Yield
 Yield: 'yield' ('from' Expr | Exprs)?
+Field: (Yield | Exprs) '='? ('!' ID)? (':' STR?)?
 Ids: ID (',' ID)*
 Dotted: ID ('.' ID)*
 Froms: ID ('as' ID)? (',' ID ('as' ID)?)*
 FromsP: Froms ','?
 AugOp: '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
+Targets: Star1 (',' Star1)* ','?
+Star1: '*'? Target
+Target: ID | Place | P[TargetsIn] | S[TargetsIn]
+TargetsIn: (Star1 (',' Star1)* ','?)?
+Place: Atom Suf* ('.' ID | S[Subs])
+One: ID | Place | P[OneIn]
+OneIn: One
+Dels: Del (',' Del)* ','?
+Del: ID | Place | P[DelsIn] | S[DelsIn]
+DelsIn: (Del (',' Del)* ','?)?
 Compound: 'if' Named ':' Suite Elif* Else? | 'while' Named ':' Suite Else? | 'async'? 'for' Targets 'in' Exprs ':' Suite Else? | Try | 'async'? 'with' (Withs | P[WithsP]) ':' Suite
-  | Decorator* ('async'? 'def' ID TParams? P[Params] ('->' Expr)? ':' Suite | 'class' ID TParams? P[Args]? ':' Suite) | 'match' Exprs ':' NL? K[Cases]
+  | Decorator* ('async'? 'def' ID TParams? P[Params] ('->' Expr)? ':' Suite | 'class' ID TParams? P[Args]? ':' Suite) | 'match' Exprs1 ':' NL? K[Cases]
 Elif: 'elif' Named ':' Suite
 Else: 'else' ':' Suite
 Try: 'try' ':' Suite (Except+ Else? Finally? | Finally)
-Except: 'except' '*'? (Exprs1 ('as' ID)?)? ':' Suite
-Exprs1: Expr
+Except: 'except' ('*'? Expr ('as' ID)?)? ':' Suite
+Exprs1: Named | Exprs
 Finally: 'finally' ':' Suite
 Withs: With (',' With)*
 With: Expr ('as' Target)?
@@ -428,45 +444,60 @@ Cases: (NL | 'case' Pats ('if' Named)? ':' Suite)+
 Pats: Pat (',' Pat)* ','?
 Pat: PatOr ('as' ID)?
 PatOr: PatAtom ('|' PatAtom)*
-PatAtom: '*'? ID | '-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | Dotted P[PatArgs]? | P[PatSeq] | S[PatSeq] | B[PatMap]
+PatAtom: '*'? ID | '-'? NUM (('+' | '-') NUM)? | Strings | 'None' | 'True' | 'False' | Dotted P[PatArgs]? | P[PatSeq] | S[PatSeq] | B[PatMap]
 PatArgs: ((ID '=')? Pat (',' (ID '=')? Pat)* ','?)?
 PatSeq: (Pat (',' Pat)* ','?)?
 PatMap: (PatKey (',' PatKey)* ','?)?
 PatKey: '**' ID | PatOr ':' Pat
 TParams: S[TPs]
 TPs: TP (',' TP)* ','?
-TP: ('*' | '**')? ID (':' Expr)? ('=' Expr)?
-Params: (Param (',' Param)* ','?)?
-Param: '/' | '*' | ('*' | '**')? ID (':' StarExpr)? ('=' Expr)?
+TP: ('*' | '**')? ID (':' Expr)? ('=' StarExpr)?
+Params: (Front (',' Rest?)? | Rest)?
+Front: Plains ',' '/' (',' Plains)? (',' Defs)? | Plains ',' Defs ',' '/' (',' Defs)? | Defs ',' '/' (',' Defs)? | Plains (',' Defs)? | Defs
+Plains: Plain (',' Plain)*
+Plain: ID (':' Expr)?
+Defs: Def (',' Def)*
+Def: ID (':' Expr)? '=' Expr
+Rest: '*' ID (':' StarExpr)? (',' Only)* (',' '**' Plain)? ','? | '*' (',' Only)+ (',' '**' Plain)? ','? | '**' Plain ','?
+Only: Plain | Def
 StarExpr: '*'? Expr
-Targets: Target (',' Target)* ','?
-Target: '*'? Postfix
 Exprs: StarExpr (',' StarExpr)* ','?
-Named: ID ':=' Expr | Expr | Exprs
+Named: ID ':=' Expr | Expr
 Expr: Lambda | Or ('if' Or 'else' Expr)?
 Lambda: 'lambda' LParams ':' Expr
-LParams: (LParam (',' LParam)* ','?)?
-LParam: '/' | '*' | ('*' | '**')? ID ('=' Expr)?
+LParams: (LFront (',' LRest?)? | LRest)?
+LFront: Ids ',' '/' (',' Ids)? (',' LDefs)? | Ids ',' LDefs ',' '/' (',' LDefs)? | LDefs ',' '/' (',' LDefs)? | Ids (',' LDefs)? | LDefs
+LDefs: LDef (',' LDef)*
+LDef: ID '=' Expr
+LRest: '*' ID (',' LOnly)* (',' '**' ID)? ','? | '*' (',' LOnly)+ (',' '**' ID)? ','? | '**' ID ','?
+LOnly: ID | LDef
 Or: Not (('or' | 'and') Not)*
-Not: 'not'* Operand (Bin 'not'* Operand)*
-Bin: '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '|' | '^' | '==' | '!=' | '<' | '<=' | '>' | '>=' | 'in' | 'not' 'in' | 'is' 'not'?
+Not: 'not'* Operand (Bin Operand)*
+Bin: '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**' | '<<' | '>>' | '&' | '^' | '|' | '==' | '!=' | '<' | '<=' | '>' | '>=' | 'in' | 'not' 'in' | 'is' 'not'?
 Operand: ('+' | '-' | '~')* 'await'? Postfix
 Postfix: Atom Suf*
 Suf: '.' ID | P[Args] | S[Subs]
-Args: (Arg (',' Arg)* ','?)? | GenExp
-Arg: ID '=' Expr | ('*' | '**') Expr | Item
+Args: ((Positional (',' Keywords)? | Keywords) ','?)? | GenExp
+Positional: Item1 (',' Item1)*
+Item1: '*' Expr | Item
+Keywords: Key (',' Key)* (',' Map (',' Map1)*)? | Map (',' Map1)*
+Key: ID '=' Expr | '*' Expr
+Map: '**' Expr
+Map1: '**' Expr | ID '=' Expr
 Item: ID ':=' Expr | Expr
 GenExp: Item CompFor
 CompFor: ('async'? 'for' Targets 'in' Or CompIf*)+
 CompIf: 'if' Cond1
-Cond1: Or | Lambda | ID ':=' Expr
+Cond1: Or | ID ':=' Expr
 Subs: Sub (',' Sub)* ','?
 Sub: StarExpr | ID ':=' Expr | Expr? ':' Expr? (':' Expr?)?
-Atom: ID | NUM | STR+ | 'None' | 'True' | 'False' | '...' | P[Paren] | S[ListIn] | B[DictIn]
-Paren: (Star (',' Star)* ','?)? | Yield | GenExp
+Strings: STR+ | BYTES+
+Atom: ID | NUM | Strings | 'None' | 'True' | 'False' | '...' | P[Paren] | S[ListIn] | B[DictIn]
+Paren: Item | Tuple | Yield | GenExp
+Tuple: (Star ',' (Star (',' Star)* ','?)?)?
 Star: '*' Expr | Item
-ListIn: (Star (',' Star)* ','?)? | Star CompFor
-DictIn: (Pair (',' Pair)* ','?)? | Star (',' Star)* ','? | Expr ':' Expr CompFor | Star CompFor
+ListIn: (Star (',' Star)* ','?)? | Item CompFor
+DictIn: (Pair (',' Pair)* ','?)? | Star (',' Star)* ','? | Expr ':' Expr CompFor | Item CompFor
 Pair: Expr ':' Expr | '**' Expr
 """
 PYTHON_SOFT = "match case type _"
@@ -557,6 +588,13 @@ FuncDef: (WORD | STR) P[Empty] NL* Compound | 'function' (WORD | STR) P[Empty]?
 Empty: 
 KwIn: 'if' List 'then' List ('elif' List 'then' List)* ('else' List)? | ('while' | 'until') List 'do' List | 'for' WORD (NL* 'in' AnyWord*)? Sep* 'do' List | 'for' P[Arith] Sep* 'do' List | 'select' WORD ('in' AnyWord*)? Sep* 'do' List | 'case' Word NL* 'in' Cases
 AnyWord: Word | ASSIGN
+Sum: (Number (',' Number)*)?
+Number: Signed (SumOp Signed)* ('?' Number ':' Number)? | Signed 'A=' Number
+SumOp: '+' | '-' | '*' | '/' | '%' | 'A**' | 'A==' | 'A!=' | '<' | '>' | 'A<=' | 'A>=' | 'A<<' | 'A>>' | '&&' | '||' | '&' | '|' | '^'
+Signed: ('+' | '-' | '!' | '~' | 'A++')* (WORD | P[Sum]) S[Sum]? 'A++'?
+Test: NL* TestOr NL*
+TestOr: TestNot (NL* ('&&' | '||') NL* TestNot)*
+TestNot: '!'* (P[Test] | WORD 'T2' WORD | 'T1' WORD | WORD | WORD ('<' | '>') WORD)
 Cases: (NL | CaseItem)*
 CaseItem: PATT List AndOr? (';;' | ';&' | ';;&' | END)
 """
@@ -677,7 +715,7 @@ def grammar(language: str) -> Grammar:
     if language == "c":
         return _with_any(C, "", {"PRE": "#"})
     if language == "python":
-        return Grammar(PYTHON, _CLASSES, PYTHON_SOFT)
+        return Grammar(PYTHON, _CLASSES | {"BYTES": "Y"}, PYTHON_SOFT)
     if language == "ruby":
         return Grammar(RUBY, _CLASSES | {"IVAR": "V", "SYM": "Y"}, "raise BEGIN END")
     if language == "bash":
@@ -707,6 +745,6 @@ def _with_any(text: str, soft: str, more: dict[str, str] | None = None, keyword_
 
 #: Dialects: the rules a file of the language may start from; it is rejected if all of them reject it.
 DIALECTS = {
-    "javascript": ["Module"], "typescript": ["Module"], "go": ["File"], "java": ["Unit", "Compact"], "rust": ["File"], "c": ["Unit"],
+    "javascript": ["Module", "Script"], "typescript": ["Module"], "go": ["File"], "java": ["Unit", "Compact"], "rust": ["File"], "c": ["Unit"],
     "python": ["File"], "ruby": ["File"], "bash": ["File"], "sql": ["Script"], "json": ["File"], "yaml": ["File"],
 }

@@ -3,15 +3,33 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
-from lakeseek.llm.syntax.gll import ERROR, NEWLINE, Grammar
+from lakeseek.llm.syntax.gll import ERROR, NEWLINE, Grammar, Rejected
 from lakeseek.llm.syntax.grammars import grammar
 
 _CONFLICT = r"^(?:<{7}|>{7}|\|{7})(?=[ \n]|\Z)|^={7}$"
 _NAME = r"[^\W\d]\w*"
 
 
+def within(text: str, at: int) -> int:
+    """Where the brace that is open before ``at`` closes, strings and nested braces passed over; -1 if it doesn't."""
+    depth = 1
+    for m in _NESTED.finditer(text, at):
+        c = m.group()
+        if c == "{":
+            depth += 1
+        elif c == "}":
+            depth -= 1
+            if not depth:
+                return m.start()
+    return -1
+
+
+_NESTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[{}]")
+
+
 class Kinds(dict):
     """Token text to token characters; texts not seen before are classified once."""
 
@@ -79,8 +97,25 @@ def _script(language: str):
             m = re.match(r"(=>|&&|\|\||[=(,:;!&|?{}\[\n]|return|typeof|case)[ \t]*/.+/", token)
             if m:
                 return lexer.kinds[m.group(1)] + "R"
+        if token[0] == "`" and "${" in token:
+            return "T" if holes(token) else ERROR
         return _plain(token)
 
+    def holes(token: str) -> bool:
+        """Whether every ``${...}`` of a template holds an expression."""
+        at = token.find("${")
+        while at >= 0:
+            if token[at - 1] != "\\" or (len(token[:at]) - len(token[:at].rstrip("\\"))) % 2 == 0:
+                end = within(token, at + 2)
+                if end < 0:
+                    return False
+                inner = lex(token[at + 2:end].replace("\n", " "))
+                if inner is None or not lexer.grammar.accepts("Template", inner.strip(NEWLINE)):
+                    return False
+                at = end
+            at = token.find("${", at + 1)
+        return True
+
     lexer = Lexer(language, rf"{_CONFLICT}|[ \t\f\v\xa0﻿]+|{_C_COMMENTS}|{_DQ}|{_SQ}|{_TEMPLATE}|{_REGEX}|{_NUM.format('n?', '')}|(?:[^\W\d]|\$)[\w$]*|SIGNS|[\s\S]", classify, lines=True)
     t = lexer.grammar.tokens
     ends = "INSTR)]}" + "".join(t[w] for w in ("this", "null", "true", "false", "super", "return", "break", "continue", "yield", "++", "--", "debugger", "static") + tuple(lexer.grammar.tokens[w] and w for w in ("of", "async", "get", "set", "from", "as", "type", "let")))
@@ -190,13 +225,92 @@ def _python():
         if c == "!":
             return ERROR
         if (c in "\"'" or c in "rRbBuUfFtT" and token[-1] in "\"'") and len(token) > 1:
-            return "S"
+            return string(token)
+        if c.isdigit() or c == "." and len(token) > 1 and token[1].isdigit():
+            return "N" if number.fullmatch(token) else ERROR
         return ERROR if c in "$?`" else _plain(token)
 
+    number = re.compile(r"0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][-+]?\d(?:_?\d)*)?[jJ]?"
+                        r"|\d(?:_?\d)*[eE][-+]?\d(?:_?\d)*[jJ]?|\d(?:_?\d)*[jJ]|[1-9](?:_?\d)*|0(?:_?0)*")
+    bad_escape = re.compile(r"(?<!\\)(?:\\\\)*\\(?:x(?![\da-fA-F]{2})|u(?![\da-fA-F]{4})|U(?!(?:0000|0001|000[2-9a-fA-F]|0010)[\da-fA-F]{4})|N(?!\{[^{}\n]+\}))")
+    bad_byte = re.compile(r"(?<!\\)(?:\\\\)*\\x(?![\da-fA-F]{2})|[^\x00-\x7f]")
+    prefixes = frozenset(("", "r", "u", "b", "f", "t", "br", "rb", "fr", "rf", "tr", "rt"))
+
+    def named(name: str) -> bool:
+        try:
+            return bool(unicodedata.lookup(name))
+        except KeyError:
+            return False
+
+    def string(token: str) -> str:
+        start = re.match(r"[a-zA-Z]*", token).end()
+        prefix = token[:start].lower()
+        if prefix not in prefixes:
+            return ERROR
+        width = 3 if token[start:start + 3] in ('\"\"\"', "'''") and len(token) - start >= 6 else 1
+        body = token[start + width:-width]
+        if "b" in prefix:
+            return ERROR if (bad_byte.search(body) if "r" not in prefix else not body.isascii()) else "Y"
+        if "r" not in prefix and "\\" in body and (bad_escape.search(body) or not all(map(named, re.findall(r"(?<!\\)(?:\\\\)*\\N\{([^{}\n]+)\}", body)))):
+            return ERROR
+        if ("f" in prefix or "t" in prefix) and ("{" in body or "}" in body):
+            return "S" if fields(body, "r" in prefix, width == 3) else ERROR
+        return "S"
+
+    def fields(body: str, raw: bool, long: bool, depth: int = 0) -> bool:
+        """Whether braces are doubled or hold a replacement field: an expression, perhaps ``=``, a conversion, a format with fields of its own."""
+        at = 0
+        while at < len(body):
+            c = body[at]
+            if c == "\\" and not raw:
+                named = re.compile(r"\\N\{[^{}]+\}").match(body, at)
+                at = named.end() if named else at + (1 if body[at + 1:at + 2] in ("{", "}") else 2)
+            elif c in "{}" and depth == 0 and body[at + 1:at + 2] == c:
+                at += 2
+            elif c == "}":
+                return False
+            elif c == "{":
+                end = within(body, at + 1)
+                if end < 0 or depth > 2 or not field(body[at + 1:end], raw, long, depth):
+                    return False
+                at = end + 1
+            else:
+                at += 1
+        return True
+
+    cut_at = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|lambda\b|[][(){}]|!=|:|!")
+
+    def field(text: str, raw: bool, long: bool, depth: int) -> bool:
+        level, format_ = 0, None
+        for m in cut_at.finditer(text):
+            t = m.group()
+            if t in "([{":
+                level += 1
+            elif t in ")]}":
+                level -= 1
+            elif t == ":" and level == 0:
+                text, format_ = text[:m.start()], text[m.start() + 1:]
+                break
+        conversion = re.search(r"!\s*([rsa])\s*$", text)
+        if conversion:
+            text = text[:conversion.start()]
+        text = re.sub(r"(?<![=!<>:])=\s*$", "", text)
+        if not text.strip() or "!" in text.replace("!=", ""):
+            inner = re.sub(cut_at, lambda m: "" if m.group()[0] in "\"'" else m.group(), text)
+            if not text.strip() or "!" in inner.replace("!=", ""):
+                return False
+        out = lexer.tokens(re.sub(r"\s*\n\s*", " ", text.strip()) if "#" not in text else text.strip())
+        folded = None if out is None else fold(re.sub(NEWLINE + ".", "", out))
+        if folded is None or not g.accepts("Field", folded):
+            return False
+        return format_ is None or fields(format_, raw, long, depth + 1)
+
+    hole = r"\{(?:[^{}\"'\n]|\"[^\"\n]*\"|'[^'\n]*'|\{(?:[^{}\"'\n]|\"[^\"\n]*\"|'[^'\n]*')*\})*\}"
+    formatted = rf"(?:[fFtT][rR]?|[rR][fFtT])(?:\"(?!\"\")(?:[^\"\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{hole})*\"|'(?!'')(?:[^'\\\n{{}}]|\\[\s\S]|\{{\{{|\}}\}}|{hole})*')"
     long = r"[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*''')"
     short = r"[rRbBuUfFtT]{0,2}(?:\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'|\"\"(?!\")|''(?!'))"
     # A number may run straight into a keyword, as in `1if x else y`.
-    lexer = Lexer("python", rf"{_CONFLICT}|\\\n|#[^\n]*|(?:\n[ \t\f]*)+|[ \t\f]+|{long}|{short}|0[xXbBoO][\da-fA-F_]+(?!\w)|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?(?!\w)|{_NAME}|SIGNS|[\s\S]", classify)
+    lexer = Lexer("python", rf"{_CONFLICT}|\\\n|#[^\n]*|(?:\n[ \t\f]*)+|[ \t\f]+|{long}|{formatted}|{short}|0[xXbBoO][\da-fA-F_]+(?!\w)|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?(?!\w)|{_NAME}|SIGNS|[\s\S]", classify)
     del lexer.kinds["\n"], lexer.kinds.known["\n"]
     g = lexer.grammar
     again = "".join(g.tokens[w] for w in ("elif", "else", "except", "finally"))
@@ -382,6 +496,8 @@ def _ruby():
                 previous = w
                 continue
             elif c in "\"'`" and len(w) > 1 or c == "?" and len(w) == 2:
+                if c == '"' and "#{" in w and not holes(w):
+                    return None
                 kind = "S"
             elif c == "%" and len(w) > 2:
                 kind = "R" if w[1] == "r" else "S"
@@ -403,6 +519,17 @@ def _ruby():
             return None
         return _ruby_lines("".join(stack[0][1]))
 
+    def holes(text: str) -> bool:
+        """Whether every ``#{...}`` of a string holds statements."""
+        for m in re.finditer(r"(?<!\\)(?:\\\\)*#\{", text):
+            end = within(text, m.end())
+            if end < 0:
+                return False
+            inner = lex(text[m.end():end])
+            if inner is None or not g.accepts("File", inner):
+                return False
+        return True
+
     joins = "".join(t[w] for w in (",", ".", "&.", "::", "||", "&&", "+", "*", "=", "=>", "|", "+=", "-=", "||=", "?", "==", "<<", "and", "or", "not") if w in t)
     drop = re.compile(f"(?<=[{re.escape(joins)}])\n|\n(?=[{re.escape(t['.'] + t['&.'])}])")
 
@@ -423,11 +550,116 @@ def _bash():
     token = re.compile(rf"{_CONFLICT}|[ \t]+|\\\n|(?<![^\s;&|()])#[^\n]*|\n|\[\[(?=\s)[^\n]*?\s\]\]|\(\((?:[^()\n]|\((?:[^()]|\([^()]*\))*\))*\)\)|\d?(?:<<<|<<-?|<&|>&|>>|<>|>\||&>>|&>|<|>)(?:[\d-]+(?=\s|;|$))?|;;&|;;|;&|&&|\|\||\|&|[;&|(){{}}]|{piece}+|[\s\S]")
     reserved = frozenset(("if", "then", "elif", "else", "fi", "for", "while", "until", "do", "done", "case", "esac", "select", "function", "time", "!"))
     assign = re.compile(r"[A-Za-z_]\w*(?:\[[^\]\s]*\])?\+?=")
+    operand = r"(?:\"(?:[^\"\\]|\\[\s\S])*\"|'[^']*'|\$\{(?:[^{}]|\{[^{}]*\})*\}|\$\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|`[^`]*`|\$?[\w@#]+|\$[*?!$-])+"
+    arithmetic = re.compile(rf"\s+|\\\n|(?:<<|>>|[-+*/%&|^])=|\+\+|--|\*\*|==|!=|<=|>=|<<|>>|&&|\|\||=|{operand}|[\s\S]")
+    binary = r"=~|==|!=|=|-(?:eq|ne|lt|le|gt|ge|nt|ot|ef)(?=\s)"
+    condition = re.compile(rf"[ \t]+|\n|&&|\|\||!(?=\s)|{binary}|-[a-zA-Z](?=\s)|[()<>]|(?:\\[\s\S]|{operand}|[^\s()<>&|\"'$`])+|[\s\S]")
+
+    def summed(text: str) -> bool:
+        """Whether a text is an arithmetic expression, or a list of them."""
+        out = []
+        for m in arithmetic.finditer(text):
+            w = m.group()
+            if w.isspace() or w == "\\\n":
+                continue
+            if w in ("++", "--"):
+                out.append(t["A++"])
+            elif len(w) > 1 and w[-1] == "=" and w not in ("==", "!=", "<=", ">=") or w == "=":
+                out.append(t["A="])
+            elif w in ("**", "==", "!=", "<=", ">=", "<<", ">>"):
+                out.append(t["A" + w])
+            elif w in "()[]":
+                out.append(w)
+            elif w in t and not w[0].isalpha():
+                out.append(t[w])
+            elif re.match(r"[\w\"'$`@#]", w):
+                out.append("W")
+            else:
+                return False
+        try:
+            folded = g.fold("".join(out))
+        except Rejected:
+            return False
+        return folded is not None and g.accepts("Sum", folded)
+
+    def tested(text: str) -> bool:
+        """Whether a text is a conditional expression."""
+        out, at = [], 0
+        while at < len(text):
+            m = condition.match(text, at)
+            w, at = m.group(), m.end()
+            if not w.strip(" \t"):
+                continue
+            if w == "\n":
+                out.append(NEWLINE)
+            elif w == "=~":
+                pattern_ = re.compile(r"\s+(?:\\[\s\S]|\"[^\"]*\"|'[^']*'|\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\]|\$\{[^}]*\}|[^\s()&]|&(?!&))+").match(text, at)
+                if not pattern_:
+                    return False
+                out.append(t["T2"] + "W")
+                at = pattern_.end()
+            elif re.fullmatch(binary.replace(r"(?=\s)", ""), w):
+                out.append(t["T2"])
+            elif re.fullmatch(r"-[a-zA-Z]", w):
+                out.append(t["T1"])
+            elif w in ("&&", "||", "!", "(", ")", "<", ">"):
+                out.append(w if w in "()" else t[w])
+            elif w in "&|":
+                return False
+            else:
+                out.append("W")
+        try:
+            folded = g.fold("".join(out))
+        except Rejected:
+            return False
+        return folded is not None and g.accepts("Test", folded)
+
+    opened = re.compile(r"\\[\s\S]|\$\(\(|\$\(|[\"'()`]")
+
+    def closing(text: str, at: int) -> int:
+        """Where the parenthesis that is open before ``at`` closes; -1 if that can't be told."""
+        depth, quoted = 1, False
+        for m in re.compile(r"\\[\s\S]|'[^']*'|[\"()]").finditer(text, at):
+            c = m.group()[0]
+            if c == '"':
+                quoted = not quoted
+            elif not quoted and c in "()":
+                depth += 1 if c == "(" else -1
+                if not depth:
+                    return m.start()
+        return -1
+
+    def substituted(word: str) -> bool:
+        """Whether every command substitution of a word holds commands, every arithmetic one a sum."""
+        at, quoted = 0, False
+        while m := opened.search(word, at):
+            w, at = m.group(), m.end()
+            if w == '"':
+                quoted = not quoted
+            elif w == "'" and not quoted:
+                at = word.find("'", at) + 1 or len(word)
+            elif w == "`":
+                at = word.find("`", at) + 1 or len(word)
+            elif w in ("$(", "$(("):
+                end = closing(word, m.start() + 2)
+                if end < 0:
+                    return True
+                inner = word[m.start() + 2:end]
+                if inner.startswith("(") and inner.endswith(")") and closing(inner, 1) == len(inner) - 1:
+                    if not summed(inner[1:-1]):
+                        return False
+                elif "case" not in inner and "<<" not in inner:
+                    out = lex(inner)
+                    if out is None or not g.accepts("File", out):
+                        return False
+                at = end + 1
+        return True
+
     pattern = re.compile(r"[ \t\n]*(?:#[^\n]*\n[ \t\n]*)*\(?[ \t]*((?:[^\s()\"'\;&<>]|\\.|\"[^\"\n]*\"|'[^'\n]*'|[ \t]*\|[ \t]*)+)[ \t]*\)")
 
     def lex(text: str) -> str | None:
         text = text.lstrip("﻿")
-        if re.search(r"[\x00-\x08\x0e-\x1f�]", text):
+        if re.search(r"[\x00-\x08\x0e-\x1f]", text):
             return None
         text = re.sub(r"<<-?[ \t]*([\"']?)(\w+)\1([^\n]*)\n(?:[\s\S]*?\n)??[\t ]*\2(?=\n|\Z)", r"<<<x\3", text)
         stack: list[list] = [["", []]]
@@ -523,9 +755,13 @@ def _bash():
                 start = True
                 continue
             if w.startswith("[[") and len(w) > 3:
+                if not tested(w[2:-2]):
+                    return None
                 out.append("Q")
             elif w.startswith("((") and len(w) > 3:
-                out.append(g.group("P", ""))
+                if not all(map(summed, w[2:-2].split(";"))):
+                    return None
+                out.append(g.group("P", g.group("P", "")))
                 start = False
                 continue
             elif re.match(r"\d?[<>]|&>", w) and not re.match(r"[<>]\(", w):
@@ -533,6 +769,8 @@ def _bash():
                 if w[-1].isdigit() or w[-1] == "-" and "&" in w:
                     out.append("W")
                 continue
+            elif "$(" in w and not substituted(w):
+                return None
             elif assign.match(w) and (start or text[at:at + 1] == "("):
                 out.append("A")
                 continue
@@ -579,7 +817,7 @@ def _yaml():
 
     def lex(text: str) -> str | None:
         text = text.lstrip("﻿")
-        if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f�]", text) or re.search(r"(?m)^(?:<{7}|>{7}|\|{7})(?: |$)", text):
+        if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", text) or re.search(r"(?m)^(?:<{7}|>{7}|\|{7})(?: |$)", text):
             return None
         lines = text.split("\n")
         rows: list[tuple[int, str]] = []
@@ -645,9 +883,9 @@ def _yaml():
                     return None
                 else:
                     got += "S"
-            elif value[0] == "*":
+            elif re.match(r"\*[^\s,\[\]{}]+[ \t]*(?:#.*)?$", value):
                 got += "A"
-            elif value[0] in "]},%@`" or value[0] in "|>" or re.match(r"[-?:](?:\s|$)", value):
+            elif value[0] in "]},%@`&*" or value[0] in "|>" or re.match(r"[-?:](?:\s|$)", value):
                 return None
             else:
                 plain = re.sub(r"[ \t]#.*$", "", value)

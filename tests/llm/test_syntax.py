@@ -1,5 +1,8 @@
 import ast
 import json
+import random
+import re
+import warnings
 
 import pytest
 from hypothesis import given, settings
@@ -84,6 +87,61 @@ def test_deep_and_long_files():
     assert validity.parses("f(1);\n" * 20_000, "javascript")
 
 
+PROBES = {
+    "python": (["1 = x", "f() = 1", "a + b = c", "f(a)=b=c", "del f()", "x = yield = 1", "for 1 in x: pass", "with a as 1: pass", "(a, b): int = 1", "f(**a, *b)", "f(a=1, b)", "def f(a=1, b): pass", "def f(*): pass",
+                "def f(a, /, b, /): pass", "f'{'", "f'{a b}'", "f'}'", "f'{}'", "f'{a!z}'", "0777", "'\\x'", "ur'a'", "1__0", "f(x for x in y, 1)", "'a' b'b'", "b'\u00e9'", "a == not b", "from import x"],
+               ["f'{a!r:>{w}}'", "f'{x[\"a\"]}'", "f\"{x[\"a\"]}\"", "f'{{}}'", "f'{a=}'", "f'{a:%Y-%m-%d}'", "f(*a, x, k=1, *b, **c, d=2)", "def f(a, /, b=1, *, c, d=2, **e): pass", "(a, *b), [c, d.e] = x", "(x): int = 1", "00", "1_000",
+                "with (a as b, c as (d, e)): pass", "del (a, [b]), c[0]", "a = b = yield x", "f(a, (b for b in c))", "f'{x:{y}.{z}}'", "1if x else y"]),
+    "javascript": (["`${1 +}`", "import type {A} from 'b'", "if (x) { export let a = 1 }"], ["`a${b + `c${d}`}`", "`${a.b({c: 1})}`", "`\\${1 +}`", "return 1", "`${x ? `y` : ''}`"]),
+    "ruby": (['"#{1 +}"', 'x = "a #{if}"'], ['"#{x + 1} #{y}"', '"#{a.map { |z| z }.join(", ")}"', '"\\#{1 +}"', '"#{}"']),
+    "bash": (["(( 1 + ))", "[[ a == ]]", "x=$(if)", 'echo "$(a | | b)"', "[[ && a ]]"], ["(( i++ ))", "x=$((1 + 2))", "[[ $x =~ ^[a-z]+(b|c)$ ]]", "for ((i=0;i<3;i++)); do x; done", "echo '$(if)' \"$(a \"b c\")\"", "echo '\ufffd'"]),
+    "yaml": (["a: &", "a: *"], ["a: '\ufffd'", "a: &x 1\nb: *x"]),
+}
+
+
+@pytest.mark.parametrize("lang,body,want", [(k, b, n == 1) for k, both in PROBES.items() for n in (0, 1) for b in both[n]])
+def test_insides_and_forms(lang, body, want):
+    assert validity.parses(body + "\n", lang) == want
+
+
+def damaged(body, rng):
+    """A text with one of its tokens left out, said twice or changed with the next."""
+    tokens = [(m.start(), m.end()) for m in re.finditer(r"\w+|[^\w\s]", body)]
+    k = rng.randrange(len(tokens) - 1)
+    (a, b), (c, d) = tokens[k:k + 2]
+    return rng.choice([body[:a] + body[b:], body[:b] + " " + body[a:b] + body[b:], body[:a] + body[c:d] + body[b:c] + body[a:b] + body[d:]])
+
+
+def test_python_agrees_with_its_own_parser_on_mutated_code():
+    rng, agree = random.Random(3), []
+    sources = [open(random.__file__).read(), open(json.__file__).read(), *(b for b in GOOD["python"] if len(b) > 8)]
+    for n in range(240):
+        body = damaged(sources[n % len(sources)], rng).replace("\ufeff", "").replace("\r", "")
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(body)
+            want = True
+        except (SyntaxError, ValueError):
+            want = False
+        agree.append(validity.parses(body, "python") == want)
+    assert sum(agree) / len(agree) >= 0.99
+
+
+def test_long_lists_equal_the_whole_parse():
+    g = Grammar("L: (E (',' E)* ','?)?\nE: ID | ID '=' ID", {"ID": "I"})
+    comma, equals = g.tokens[","], g.tokens["="]
+    assert g.lists["L"] and g.accepts("L", comma.join(["I", f"I{equals}I"] * 4000)) and g.accepts("L", "I" + comma) and g.accepts("L", "")
+    assert not g.accepts("L", comma + "I") and not g.accepts("L", "I" + comma + comma) and not g.accepts("L", comma.join(["I"] * 50 + ["II"]))
+
+
+def test_dialects_are_roots_of_one_run():
+    g = Grammar("A: 'x' R\nB: 'y' R\nC: 'x' R 'z'\nR: ID*", {"ID": "I"})
+    x, y, z = (g.tokens[t] for t in "xyz")
+    rules = [g.rules[n] for n in "ABC"]
+    assert [r.name for r in g.deriving(rules, x + "II")] == ["A"] and [r.name for r in g.deriving(rules, x + "I" + z)] == ["C"] and g.accepts(["A", "B"], y) and not g.accepts(["A", "B"], z)
+
+
 SCHEMA = "file_id long, collection string, rel_path string, language string, content string, parsed int"
 
 
@@ -92,6 +150,7 @@ def test_operator(spark):
             (5, "c", None, "python", "x = =", 0), (6, "d", "e.yml", "yaml", "", 0), (None, "d", "f.h", "c", "int x", 0), (7, "d", "g.js", "js", "(" * 200_000, 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert {r.file_id for r in validity.unparsed_files(df).collect()} == {2, None, 7}
-    rates = {(r.collection, r.language): (r.files, r.unparsed, r.share) for r in validity.rates(df).collect()}
-    assert rates["c", "python"] == (2, 1, 0.5) and rates["d", "yaml"] == (1, 0, 0.0)
+    rates = {(r.collection, r.language): (r.files, r.checked, r.unparsed, r.share) for r in validity.rates(df).collect()}
+    assert rates["c", "python"] == (2, 2, 1, 0.5) and rates["d", "yaml"] == (1, 1, 0, 0.0)
+    assert rates[None, "md"] == (1, 0, 0, None) and rates["c", None] == (1, 0, 0, None)
     assert validity.check(df.limit(0)).count() == 0
