@@ -50,10 +50,30 @@ class Slot:
 
 
 class Rule:
-    __slots__ = ("name", "bodies", "slots", "first", "nullable", "number")
+    """``nullable``: it can match nothing, perhaps only at the end of the text; ``empty``: anywhere."""
+
+    __slots__ = ("name", "bodies", "slots", "first", "nullable", "empty", "number", "ahead")
 
     def __init__(self, name: str):
-        self.name, self.bodies, self.slots, self.first, self.nullable = name, [], [], set(), False
+        self.name, self.bodies, self.slots, self.first, self.nullable, self.empty = name, [], [], set(), False, False
+        self.ahead = Ahead(self)
+
+
+class Ahead(dict):
+    """The next token to the alternatives that can match there, none if the rule
+    can't; null if all it can match there is nothing. The end of the text is null."""
+
+    def __init__(self, rule: Rule):
+        self.rule = rule
+
+    def __missing__(self, kind: str | None) -> tuple | None:
+        slots = tuple(slot for slot, first in self.rule.slots if kind in first)
+        nothing = self.rule.empty if kind is not None else self.rule.nullable
+        found = self[kind] = (*slots, _NOTHING) if slots and nothing else None if nothing else slots
+        return found
+
+
+_NOTHING = Slot("done")
 
 
 class Grammar:
@@ -134,7 +154,7 @@ class Grammar:
                     item = ("rule", self._auxiliary([[item], []]))
                 else:
                     star = self._auxiliary([])
-                    self.rules[star].bodies = [[item, ("rule", star)], []]
+                    self.rules[star].bodies = [[item, ("loop",)], []]
                     item = ("rule", star) if sign == "*" else ("rule", self._auxiliary([[item, ("rule", star)]]))
             body.append(item)
         bodies.append(body)
@@ -165,6 +185,8 @@ class Grammar:
                         slot = Slot("group", group=item[1] + "[", rule=self.rules[item[2]], following=slot)
                     elif item[0] == "end":
                         slot = Slot("end", following=slot)
+                    elif item[0] == "loop":
+                        slot = Slot("loop", rule=rule)
                     else:
                         slot = Slot("rule", rule=self.rules[item[1]], following=slot)
                 rule.slots.append(slot)
@@ -173,13 +195,14 @@ class Grammar:
             changed = False
             for rule in self.rules.values():
                 for slot in rule.slots:
-                    first, nullable = self._first(slot)
-                    if not first <= rule.first or nullable and not rule.nullable:
+                    first, nullable, empty = self._first(slot)
+                    if not first <= rule.first or nullable and not rule.nullable or empty and not rule.empty:
                         rule.first |= first
                         rule.nullable |= nullable
+                        rule.empty |= empty
                         changed = True
         for rule in self.rules.values():
-            rule.slots = [(slot, *self._first(slot)) for slot in rule.slots]
+            rule.slots = [(slot, self._first(slot)[0]) for slot in rule.slots]
         self.asked: dict[str, list[Rule]] = {k: [] for k in BASES}
         for rule in self.rules.values():
             for item in (i for body in rule.bodies for i in body if i[0] == "group"):
@@ -187,20 +210,24 @@ class Grammar:
                     self.asked[item[1]].append(self.rules[item[2]])
 
     @staticmethod
-    def _first(slot: Slot) -> tuple[set, bool]:
-        """The tokens a text matched from ``slot`` can begin with, and whether it can be empty."""
+    def _first(slot: Slot) -> tuple[set, bool, bool]:
+        """The tokens a text matched from ``slot`` can begin with, and whether it can be empty, at the end and anywhere."""
         first: set = set()
+        empty = True
         while True:
             if slot.kind == "chars":
-                return first | slot.chars, False
+                return first | slot.chars, False, False
             if slot.kind == "group":
-                return first | {slot.group}, False
+                return first | {slot.group}, False, False
             if slot.kind == "rule":
                 first |= slot.rule.first
                 if not slot.rule.nullable:
-                    return first, False
-            elif slot.kind == "done":
-                return first, True
+                    return first, False, False
+                empty &= slot.rule.empty
+            elif slot.kind == "end":
+                empty = False
+            else:
+                return first, True, empty
             slot = slot.next
 
     # -- bracketed parts
@@ -313,54 +340,63 @@ class Grammar:
     def _parse(self, rules: list[Rule], text: str) -> set[int]:
         """GLL: the numbers of the rules that derive the whole text. Descriptors
         (slot, stack node, position) are worked off in any order; a stack node is
-        a rule called at a position, its edges are where calls return to, and
-        ends found before are replayed to later callers."""
+        a rule called at a position, with edges to where calls return and the
+        ends found so far, which are replayed to later callers. A repetition stays
+        in its node: each end of it is where the next round begins."""
         size = len(text)
-        kinds = [_GROUPS[ord(c) >> 16] if c >= "\U00030000" else c for c in text]
-        derived = self.derived
-        edges: dict[tuple, list] = {}
-        ends: dict[tuple, set] = {}
+        kinds: list[str | None] = [_GROUPS[ord(c) >> 16] if c >= "\U00030000" else c for c in text]
+        kinds.append(None)
+        derived, width = self.derived, size + 1
+        nodes: dict[int, tuple[set, set]] = {}
         seen: set = set()
         work: list = []
-
-        def call(called: Rule, at: int) -> tuple:
-            node = (called.number, at)
-            if node not in edges:
-                edges[node], ends[node] = [], set()
-                ahead = kinds[at] if at < size else None
-                for slot, first, nullable in called.slots:
-                    if nullable or ahead in first:
-                        work.append((slot, node, at))
-            return node
-
-        roots = {call(rule, 0) for rule in rules if rule.nullable or size and kinds[0] in rule.first}
-        missing = set(roots)
+        whole: set[int] = set()
+        missing = set()
+        for rule in rules:
+            slots = rule.ahead[kinds[0]]
+            if slots:
+                node = rule.number * width
+                nodes[node] = set(), set()
+                missing.add(node)
+                work += [(slot, node, 0) for slot in slots]
+            elif slots is None and not size:
+                whole.add(rule.number)
         while work and missing:
             slot, node, at = work.pop()
             while True:
                 kind = slot.kind
                 if kind == "chars":
-                    if at < size and kinds[at] in slot.chars:
+                    if kinds[at] in slot.chars:
                         at += 1
                         slot = slot.next
                         continue
                     break
                 if kind == "rule":
                     called = slot.rule
-                    if not called.nullable and (at >= size or kinds[at] not in called.first):
+                    slots = called.ahead[kinds[at]]
+                    if slots is None:
+                        slot = slot.next
+                        continue
+                    if not slots:
                         break
-                    inner = call(called, at)
+                    inner = called.number * width + at
                     back = (slot.next, node)
-                    if back not in edges[inner]:
-                        edges[inner].append(back)
-                        for end in ends[inner]:
-                            item = (slot.next, node, end)
+                    if inner not in nodes:
+                        nodes[inner] = {back}, set()
+                        for slot in slots:
+                            work.append((slot, inner, at))
+                        break
+                    edges, ends = nodes[inner]
+                    if back not in edges:
+                        edges.add(back)
+                        for end in ends:
+                            item = (*back, end)
                             if item not in seen:
                                 seen.add(item)
                                 work.append(item)
                     break
                 if kind == "group":
-                    if at < size and kinds[at] == slot.group and slot.rule.number in derived[text[at]]:
+                    if kinds[at] == slot.group and slot.rule.number in derived[text[at]]:
                         at += 1
                         slot = slot.next
                         continue
@@ -370,17 +406,22 @@ class Grammar:
                         slot = slot.next
                         continue
                     break
-                if at not in ends[node]:
-                    if at == size:
-                        missing.discard(node)
-                    ends[node].add(at)
-                    for following, parent in edges[node]:
-                        item = (following, parent, at)
+                edges, ends = nodes[node]
+                if at not in ends:
+                    if at == size and node in missing:
+                        missing.remove(node)
+                        whole.add(node // width)
+                    ends.add(at)
+                    for back in edges:
+                        item = (*back, at)
                         if item not in seen:
                             seen.add(item)
                             work.append(item)
+                    if kind == "loop":
+                        for following in slot.rule.ahead[kinds[at]] or ():
+                            work.append((following, node, at))
                 break
-        return {number for number, _ in roots - missing}
+        return whole
 
 
 def _alternatives(body: str) -> list[str]:

@@ -2,6 +2,7 @@ import ast
 import json
 import random
 import re
+import sys
 import warnings
 
 import pytest
@@ -142,6 +143,44 @@ def test_dialects_are_roots_of_one_run():
     assert [r.name for r in g.deriving(rules, x + "II")] == ["A"] and [r.name for r in g.deriving(rules, x + "I" + z)] == ["C"] and g.accepts(["A", "B"], y) and not g.accepts(["A", "B"], z)
 
 
+def steps(run) -> int:
+    """The lines that the parser itself executes: a measure of work that no machine changes."""
+    count = 0
+
+    def local(frame, event, arg):
+        nonlocal count
+        count += event == "line"
+        return local
+    before = sys.gettrace()
+    sys.settrace(lambda frame, event, arg: local if frame.f_code.co_name == "_parse" else None)
+    try:
+        run()
+    finally:
+        sys.settrace(before)
+    return count
+
+
+def test_repetitions_take_work_in_proportion():
+    def work(n):
+        g = Grammar("A: (X Y?)* END\nX: ID ('+' ID)*\nY: NUM*", {"ID": "I", "NUM": "N"})
+        text = (f"I{g.tokens['+']}INN" * n)
+        return steps(lambda: g.accepts("A", text)), g.accepts("A", text), g.accepts("A", text + g.tokens["+"])
+    (small, *_), (large, good, bad) = work(100), work(400)
+    assert good and not bad and large < 4.5 * small
+
+    def body(n, last="2"):
+        return "int f() { x = " + "a + " * n + last + "; " + "}"
+    few, many = (steps(lambda n=n: validity.parses(body(n), "c")) for n in (100, 400))
+    assert validity.parses(body(400), "c") and not validity.parses(body(400, ""), "c") and many < 6 * few
+
+
+def test_repetitions_of_what_may_be_empty_or_left_recursive():
+    g = Grammar("A: (B? C*)* ID\nB: NUM END | NUM | B NUM\nC: '+'? | END\nD: A D | END | NL*", {"ID": "I", "NUM": "N", "NL": "\n"})
+    plus = g.tokens["+"]
+    for text, want in (("I", "AD"), ("NNI", "AD"), (f"N{plus}{plus}NI", "AD"), ("II", "D"), ("", "D"), ("\n\n", "D"), ("I\n", "D"), ("N", ""), (f"I{plus}", "")):
+        assert "".join(r.name for r in g.deriving([g.rules["A"], g.rules["D"]], text)) == want, text
+
+
 SCHEMA = "file_id long, collection string, rel_path string, language string, content string, parsed int"
 
 
